@@ -40,20 +40,21 @@ def running_sum(
     """
     keys, levels = list(keys), list(levels)
     value = F.col(value) if isinstance(value, str) else value
-    df = df.withColumn("_v", value)
+    df = df.withColumn("__value", value)
     local = Window.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = df.withColumn("_local", F.sum("_v").over(local))
+    summed = df.withColumn("__local", F.sum("__value").over(local))
     if levels:
-        totals = df.groupBy(*keys, *levels).agg(F.sum("_v").alias("_total"))
-        offsets = running_sum(totals, keys, levels[-1:], "_total", "_offset", levels[:-1], exclusive=True)
-        offsets = offsets.select(*keys, *levels, "_offset")
+        totals = df.groupBy(*keys, *levels).agg(F.sum("__value").alias("_total"))
+        offsets = running_sum(totals, keys, levels[-1:], "_total", "__base", levels[:-1], exclusive=True)
+        offsets = offsets.select(*keys, *levels, "__base")
         summed = summed.join(offsets, [*keys, *levels])
     else:
-        summed = summed.withColumn("_offset", F.lit(0))
-    result = F.col("_local") + F.col("_offset")
+        summed = summed.withColumn("__base", F.lit(0))
+    result = F.col("__local") + F.col("_offset")
     if exclusive:
-        result = result - F.col("_v")
-    return summed.withColumn(out, result).drop("_v", "_local", "_offset")
+        result = result - F.col("__value")
+    kept = [c for c in summed.columns if c not in ("__value", "__local", "__base", out)]
+    return summed.select(*kept, result.alias(out))
 
 
 def number_rows(

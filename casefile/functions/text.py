@@ -238,8 +238,15 @@ def parse_value_list(column: Column | str, items: int = 20, characters: int = 24
     exotic = F.exists(usable, lambda v: v.rlike(NON_ASCII))
     keys = F.transform(F.coalesce(_nfkc_each(F.when(exotic, usable)), usable), _fold_matter)
     pairs = F.arrays_zip(usable.alias("value"), keys.alias("key"))
-    first = F.filter(pairs, lambda p, i: (p["key"] != "") & (F.array_position(keys, p["key"]) == i + 1))
-    return F.slice(F.transform(first, lambda p: p["value"]), 1, items)
+    nothing = F.array().cast("array<struct<value:string,key:string>>")
+
+    def keep(kept: Column, pair: Column) -> Column:
+        seen = F.exists(kept, lambda k: k["key"] == pair["key"])
+        return F.when((F.size(kept) >= items) | (pair["key"] == "") | seen, kept).otherwise(
+            F.concat(kept, F.array(pair))
+        )
+
+    return F.transform(F.aggregate(pairs, nothing, keep), lambda p: p["value"])
 
 
 def confidence_band(score: Column | str) -> Column:

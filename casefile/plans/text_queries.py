@@ -106,10 +106,10 @@ def html_to_text(spark: SparkSession, folder: str) -> DataFrame:
         r"SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS INT) AS paragraph, text FROM ("
         r"SELECT page_id, i, trim(regexp_replace(replace(replace(replace(replace(replace("
         r"array_to_string(regexp_extract_all(block, '<a(?:\s[^>]*)?>([\s\S]*?)</a>', 1), ''), "
-        r"'&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&apos;', ''''), '&amp;', '&'), '\s+', ' ', 'g'), ' ') AS text FROM ("
+        r"'&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&apos;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'), ' ') AS text FROM ("
         r"SELECT page_id, unnest(b) AS block, generate_subscripts(b, 1) AS i FROM (SELECT page_id, "
         r"regexp_extract_all(html, '<li(?:\s[^>]*)?>[\s\S]*?</li>') AS b FROM pages) p) q) r WHERE text <> ''"
-    ).replace('""', '"')
+    )
 )
 def markup_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     blocks = T.markup_paragraphs("html", "li", "a")
@@ -211,16 +211,14 @@ def normalize_matter(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     sql=(
         "WITH v AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[\\n;]+'), lambda x: "
-        f"regexp_replace(regexp_replace({sql_normalize('x')}, '^[\\s:;,.-]+', ''), '[\\s;,.-]+$', '')), lambda x: x <> '' AND length(x) <= 240) AS vs FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')), "
+        f"regexp_replace(regexp_replace({sql_normalize('x')}, '^[\\s:;,.-]+', ''), '[\\s;,.-]+$', '')), lambda x: x <> '' AND length(x) <= 240) AS vs FROM documents), "
         "k AS (SELECT doc_id, vs, list_transform(vs, lambda x: upper(regexp_replace(x, '\\s*([/,:&()-])\\s*', '\\1', 'g'))) AS ks FROM v), "
         "f AS (SELECT doc_id, list_filter(list_zip(vs, ks), lambda p, i: list_position(ks, p[2]) = i) AS fs FROM k) "
         "SELECT doc_id, CAST(len(fs[1:20]) AS INT) AS n_values, array_to_string(list_transform(fs[1:20], lambda p: p[1]), '|') AS \"values\" FROM f"
     )
 )
 def value_list(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts that need Unicode compatibility forms are left to the unit tests: SQL has none."""
-    ascii_only = views.table(spark, folder, "documents").filter(~F.col("text").rlike(T.NON_ASCII))
-    rows = ascii_only.select("doc_id", T.parse_value_list("text").alias("v"))
+    rows = views.table(spark, folder, "documents").select("doc_id", T.parse_value_list("text").alias("v"))
     return rows.select("doc_id", F.size("v").alias("n_values"), F.array_join("v", "|").alias("values"))
 
 

@@ -50,7 +50,7 @@ def main(folder: str, names: list[str]) -> int:
     from casefile.session import local_session
 
     spark = local_session("8")
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     runs, sql = entry.queries(), entry.oracle_sql()
     failures = 0
     connection = connect(folder)
