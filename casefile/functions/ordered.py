@@ -50,7 +50,7 @@ def running_sum(
         summed = summed.join(offsets, [*keys, *levels])
     else:
         summed = summed.withColumn("__base", F.lit(0))
-    result = F.col("__local") + F.col("_offset")
+    result = F.col("__local") + F.col("__base")
     if exclusive:
         result = result - F.col("__value")
     kept = [c for c in summed.columns if c not in ("__value", "__local", "__base", out)]

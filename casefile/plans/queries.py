@@ -1,3 +1,4 @@
 """Imports the modules that register queries."""
 
 from casefile.plans import text_queries  # noqa: F401
+from casefile.plans import citation_queries  # noqa: F401
