@@ -6,6 +6,10 @@ meaning of ``\\b`` for accented letters differs between Java versions.
 
 # Characters that count as white space.
 SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+SPACE_CHARACTERS = (
+    " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 START = r"(?<![A-Za-z0-9_])"
 END = r"(?![A-Za-z0-9_])"
 

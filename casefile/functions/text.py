@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from casefile.functions import patterns as P
 
@@ -26,7 +27,7 @@ def extract_all(column: Column, pattern: str, group: int = 0) -> Column:
 
 
 def trim_space(column: Column | str) -> Column:
-    return F.regexp_replace(_col(column), rf"^{P.SPACE}+|{P.SPACE}+$", "")
+    return F.btrim(_col(column), F.lit(P.SPACE_CHARACTERS))
 
 
 def normalize_ws(column: Column | str) -> Column:
@@ -201,12 +202,12 @@ def source_marker(column: Column | str, prefix: str = "AH") -> Column:
     return F.when(raw == "N/A", raw).when(raw != "", normalize_mark(raw, prefix))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _nfkc_each(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else [unicodedata.normalize("NFKC", x) for x in v])
 

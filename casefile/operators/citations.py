@@ -46,31 +46,34 @@ def _parse(value: Column, open_: Column) -> Column:
     """(raw, initials, sequence, page_from, page_to, resolution) of one token; null if it is none."""
     trimmed = T.trim_space(value)
 
-    def part(text: Column, group: int) -> Column:
-        return F.regexp_extract(text, P.PAGE_TOKEN, group)
-
     def parsed(text: Column) -> Column:
-        first, second = F.lower(part(text, 3)), F.lower(part(text, 4))
-        unresolved = (first == "xx") | (second == "xx")
-        last = F.when(second == "", first).otherwise(second)
-        is_page = text.rlike(P.PAGE_TOKEN)
+        close = F.when(open_ == "(", ")").otherwise("]")
+        wrapped = F.concat(open_, text, close)
+
+        def token(initials: Column, sequence: Column, first: Column, last: Column, resolution: Column) -> Column:
+            return F.struct(
+                wrapped.alias("raw"), initials.cast("string").alias("initials"), sequence.try_cast("int").alias("sequence"),
+                first.try_cast("int").alias("page_from"), last.try_cast("int").alias("page_to"), resolution.alias("resolution"),
+            )
+
+        def page(groups: Column) -> Column:
+            # initials / sequence / first page / last page, joined by one replacement
+            initials, sequence, first, last = (F.get(groups, F.lit(i)) for i in range(4))
+            open_end = (first == "xx") | (last == "xx")
+            last = F.when(last == "", first).otherwise(last)
+            return token(
+                F.upper(initials), sequence, F.when(~open_end, first), F.when(~open_end, last),
+                F.when(open_end, "unresolved").otherwise("resolved"),
+            )
+
         round_mark = text.rlike(P.ROUND_PLACEHOLDER) | (
             text.rlike(P.ROUND_MARK) & ~F.regexp_extract(text, P.ROUND_MARK, 1).rlike(P.ROUND_ASIDE)
         )
-        plain = F.when(open_ == "(", round_mark).otherwise(text.rlike(P.SQUARE_TOKEN))
-        close = F.when(open_ == "(", ")").otherwise("]")
-        known = is_page & ~unresolved
-        # number casts are guarded twice: a cast of "xx" or "" may be evaluated early
-        return F.when(
-            is_page | plain,
-            F.struct(
-                F.concat(open_, text, close).alias("raw"),
-                F.when(is_page, F.upper(part(text, 1))).alias("initials"),
-                F.when(is_page, part(text, 2)).try_cast("int").alias("sequence"),
-                F.when(known, first).try_cast("int").alias("page_from"),
-                F.when(known, last).try_cast("int").alias("page_to"),
-                F.when(is_page & unresolved, "unresolved").when(is_page, "resolved").otherwise("none").alias("resolution"),
-            ),
+        null = F.lit(None).cast("string")
+        groups = F.split(F.lower(F.regexp_replace(text, P.PAGE_TOKEN, "$1\t$2\t$3\t$4")), "\t", -1)
+        is_plain = F.when(open_ == "(", round_mark).otherwise(text.rlike(P.SQUARE_TOKEN))
+        return F.when(text.contains("/") & text.rlike(P.PAGE_TOKEN), T.let(groups, page)).when(
+            is_plain, token(null, null, null, null, F.lit("none"))
         )
 
     return T.let(trimmed, parsed)
@@ -251,7 +254,6 @@ def context_paragraphs(paragraphs: DataFrame, keys: list[str]) -> DataFrame:
 def create_candidates(paragraphs: DataFrame, keys: list[str], prefix: str = "AH", default_year: int = 2026) -> DataFrame:
     """One row per cited token or token-less span, numbered in reading order inside the matter."""
     rows = context_paragraphs(paragraphs, keys).withColumn("jobs", citation_jobs("text", prefix))
-    rows = rows.filter(F.size("jobs") > 0)
     produced = F.aggregate("jobs", F.lit(0), lambda a, j: a + F.greatest(F.size(j["tokens"]), F.lit(1)))
     rows = rows.withColumn("_chunk", chunk_of("seq"))
     rows = running_sum(rows, keys, ["seq"], produced.cast("long"), "_before", ["_chunk"], exclusive=True)
@@ -299,7 +301,7 @@ def create_candidates(paragraphs: DataFrame, keys: list[str], prefix: str = "AH"
         token["page_from"].alias("requested_start"),
         token["page_to"].alias("requested_end"),
         F.coalesce(token["resolution"], F.lit("none")).alias("resolution"),
-        F.array_join(citation_signals(job["span"], prefix), "|").alias("signals"),
+        F.array_join(citation_signals(job["span"], prefix, token["raw"].isNotNull()), "|").alias("signals"),
         F.col("review_context"),
     )
 

@@ -14,6 +14,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .appName("casefile")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # small local inputs would otherwise end in one partition, on one core
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
