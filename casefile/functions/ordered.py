@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casefile.session import cut_lineage
+
 CHUNK = 65_536
 """Rows per chunk when rows carry a dense position."""
 
@@ -44,7 +46,8 @@ def running_sum(
     local = Window.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = df.withColumn("__local", F.sum("__value").over(local))
     if levels:
-        totals = df.groupBy(*keys, *levels).agg(F.sum("__value").alias("_total"))
+        # few rows; kept, so that plans built on this one do not multiply
+        totals = cut_lineage(df.groupBy(*keys, *levels).agg(F.sum("__value").alias("_total")))
         offsets = running_sum(totals, keys, levels[-1:], "_total", "__base", levels[:-1], exclusive=True)
         offsets = offsets.select(*keys, *levels, "__base")
         summed = summed.join(offsets, [*keys, *levels])

@@ -3,3 +3,4 @@
 from casefile.plans import text_queries  # noqa: F401
 from casefile.plans import citation_queries  # noqa: F401
 from casefile.plans import matching_queries  # noqa: F401
+from casefile.plans import group_queries  # noqa: F401
