@@ -5,3 +5,4 @@ from casefile.plans import citation_queries  # noqa: F401
 from casefile.plans import matching_queries  # noqa: F401
 from casefile.plans import group_queries  # noqa: F401
 from casefile.plans import planning_queries  # noqa: F401
+from casefile.plans import quality_queries  # noqa: F401
