@@ -67,6 +67,25 @@ def number_rows(
     return running_sum(df, keys, order, F.lit(1).cast("long"), out, levels)
 
 
+def running_max(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column | str, out: str, levels: Sequence[str] = ()
+) -> DataFrame:
+    """Largest ``value`` of the rows *before* each row; null where there is none. Levels as in ``running_sum``."""
+    keys, levels = list(keys), list(levels)
+    value = F.col(value) if isinstance(value, str) else value
+    df = df.withColumn("__value", value)
+    local = Window.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("__local", F.max("__value").over(local))
+    if levels:
+        peaks = cut_lineage(df.groupBy(*keys, *levels).agg(F.max("__value").alias("_peak")))
+        earlier = running_max(peaks, keys, levels[-1:], "_peak", "__base", levels[:-1]).select(*keys, *levels, "__base")
+        rows = rows.join(earlier, [*keys, *levels])
+    else:
+        rows = rows.withColumn("__base", F.lit(None))
+    kept = [c for c in rows.columns if c not in ("__value", "__local", "__base", out)]
+    return rows.select(*kept, F.greatest("__local", "__base").alias(out))
+
+
 def neighbours(
     df: DataFrame, keys: Sequence[str], position: str, columns: Sequence[str], size: int = CHUNK
 ) -> DataFrame:
