@@ -112,6 +112,17 @@ def neighbours(
     return spread.filter("_own").drop("_copy", "_chunk", "_own")
 
 
+def cluster_sorted(df: DataFrame, keys: Sequence[str], *order: Column | str) -> DataFrame:
+    """Rows of a key group in one partition, next to each other and in order, for ``mapInPandas``.
+
+    The shuffle is on a hash of the keys: a plain ``repartition(keys)`` above a join on the
+    same keys is dropped as redundant, and adaptive execution may then change that join so
+    that the groups are split.
+    """
+    hashed = df.withColumn("__group", F.xxhash64(*keys)).repartition("__group")
+    return hashed.sortWithinPartitions("__group", *keys, *order)
+
+
 def pick_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """One row per key group, the first in ``order``: a partial aggregate, not a sort."""
     rest = [c for c in columns if c not in keys]

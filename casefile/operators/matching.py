@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from casefile.functions import patterns as P
 from casefile.functions import text as T
+from casefile.functions.ordered import cluster_sorted
 from casefile.session import cut_lineage
 
 MAX_SCORE, WORD_WEIGHT, DATE_WEIGHT = 88, 65, 23
@@ -172,45 +173,61 @@ def top_sources(candidates: DataFrame, sources: DataFrame, keys: list[str], limi
     return named.join(ranked, [*keys, "target"]).select(*keys, "provisional_number", "rank", "source_seq", "score")
 
 
-def _fold(edges: pd.DataFrame) -> pd.DataFrame:
-    """Decides the candidates of one matter in order. ``edges`` hold every choice that can matter."""
-    claimed: set[int] = set()
-    out = []
-    for number, group in edges.sort_values(["provisional_number", "score", "source_seq"], ascending=[True, False, True]).groupby(
-        "provisional_number", sort=True
-    ):
-        explicit = [s for s, e in zip(group.source_seq, group.explicit) if e and s not in claimed]
-        if len(explicit) == 1:
-            claimed.add(explicit[0])
-            out.append((number, explicit[0], 99, "explicit"))
-            continue
-        ranked = [(c, s) for c, s, e in zip(group.score, group.source_seq, group.explicit) if not e and s not in claimed]
-        if not ranked or ranked[0][0] < CLAIM_SCORE:
-            continue
-        if len(ranked) > 1 and ranked[0][0] - ranked[1][0] < TIE_MARGIN:
-            out.append((number, None, ranked[0][0], "ambiguous"))
-            continue
-        claimed.add(ranked[0][1])
-        out.append((number, ranked[0][1], ranked[0][0], "matched"))
-    frame = pd.DataFrame(out, columns=["provisional_number", "source_seq", "confidence", "decision"])
-    frame["source_seq"] = frame["source_seq"].astype("Int64")
-    return frame
+DECISION = "provisional_number long, source_seq long, confidence int, decision string"
 
 
-DECISION = "provisional_number long, source_seq long, confidence int, decision string"
+def _choose(explicit: list[int], ranked: list[tuple[int, int]], claimed: set[int]) -> tuple[int | None, int, str] | None:
+    """Decision of one candidate: explicit sources, then (score, source) by falling score."""
+    open_ = [s for s in explicit if s not in claimed]
+    if len(open_) == 1:
+        return open_[0], 99, "explicit"
+    best = [(c, s) for c, s in ranked if s not in claimed][:2]
+    if not best or best[0][0] < CLAIM_SCORE:
+        return None
+    if len(best) > 1 and best[0][0] - best[1][0] < TIE_MARGIN:
+        return None, best[0][0], "ambiguous"
+    return best[0][1], best[0][0], "matched"
 
 
 def _decide_matters(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Decides matters in candidate order; a task remembers only the claims of its current matter."""
     types = dict(edges.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + DECISION
 
-    def decide(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        out = _fold(frame)
-        for position, name in enumerate(keys):
-            out.insert(position, name, key[position])
-        return out
-
-    return edges.groupBy(*keys).applyInPandas(decide, schema)
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matter, number, claimed, explicit, ranked, out = None, None, set(), [], [], []
+
+        def settle() -> None:
+            found = _choose(explicit, ranked, claimed) if number is not None else None
+            if found is not None:
+                out.append((*matter, number, *found))
+                if found[0] is not None:
+                    claimed.add(found[0])
+
+        def flush() -> pd.DataFrame:
+            frame = pd.DataFrame(out, columns=[*keys, "provisional_number", "source_seq", "confidence", "decision"])
+            out.clear()
+            return frame.astype({"source_seq": "Int64"})
+
+        for frame in batches:
+            names = zip(*[frame[k].tolist() for k in keys])
+            values = zip(names, frame["provisional_number"].tolist(), frame["source_seq"].tolist(), frame["score"].tolist(), frame["explicit"].tolist())
+            for name, candidate, source, score, is_explicit in values:
+                if name != matter or candidate != number:
+                    settle()
+                    if name != matter:
+                        matter, claimed = name, set()
+                    number, explicit, ranked = candidate, [], []
+                if is_explicit:
+                    explicit.append(source)
+                else:
+                    ranked.append((score, source))
+            yield flush()
+        settle()
+        yield flush()
+
+    ordered = cluster_sorted(edges, keys, "provisional_number", F.desc("score"), "source_seq")
+    return ordered.mapInPandas(decide, schema)
 
 
 def _round(edges: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casefile.functions import text as T
-from casefile.functions.ordered import CHUNK, chunk_of, number_rows, running_sum
+from casefile.functions.ordered import CHUNK, chunk_of, cluster_sorted, number_rows, running_sum
 from casefile.session import cut_lineage
 
 A4_WIDTH, A4_HEIGHT = 595.28, 841.89
@@ -53,28 +55,6 @@ def _transfer(frame: pd.DataFrame, capacity: float) -> pd.DataFrame:
     )
 
 
-def _assign(frame: pd.DataFrame, entered: float | None, before: int, capacity: float) -> pd.DataFrame:
-    """Container number and fill before each row of one chunk."""
-    opening, added = frame["opening"].to_numpy(float), frame["added"].to_numpy(float)
-    following, prefix = _chain(opening, added, capacity)
-    n = len(opening)
-    number, used = np.empty(n, dtype=np.int64), np.empty(n)
-    at = 0
-    if entered is not None:
-        at = int(np.searchsorted(prefix, capacity - entered + 1e-9, side="right") - 1)
-        at = max(0, min(at, n))
-        number[:at], used[:at] = before, entered + prefix[:at]
-    current = before
-    while at < n:
-        current += 1
-        end = int(following[at])
-        number[at:end] = current
-        used[at] = 0.0
-        used[at + 1 : end] = opening[at] + prefix[at + 1 : end] - prefix[at + 1]
-        at = end
-    return frame.assign(container=number, used=used)
-
-
 def next_fit(
     items: DataFrame, keys: list[str], position: str, opening: str, added: str, capacity: float, size: int = CHUNK
 ) -> DataFrame:
@@ -123,14 +103,26 @@ def next_fit(
     packed_type = ", ".join(f"`{c}` {t}" for c, t in data.dtypes if c != "_chunk") + ", container long, used double"
     columns = [c for c in data.columns if c != "_chunk"]
 
-    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(position, ignore_index=True)
-        entered, before = frame["entered"].iloc[0], int(frame["before"].iloc[0])
-        work = pd.DataFrame({"opening": frame["opening__"], "added": frame["added__"]})
-        placed = _assign(work, None if pd.isna(entered) else float(entered), before, capacity)
-        return frame[columns].assign(container=placed["container"], used=placed["used"])
-
-    return known.groupBy(*group).applyInPandas(pack, packed_type)
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows arrive sorted by (keys, chunk, position); only the open container is remembered
+        current, number, fill = None, 0, None
+        for frame in batches:
+            numbers, fills = [], []
+            names = zip(*[frame[g].tolist() for g in group])
+            for name, first, later, entered, before in zip(
+                names, frame["opening__"].tolist(), frame["added__"].tolist(), frame["entered"].tolist(), frame["before"].tolist()
+            ):
+                if name != current:
+                    current, number, fill = name, int(before), None if entered != entered or entered is None else entered
+                if fill is None or fill + later > capacity + 1e-9:
+                    number, used, fill = number + 1, 0.0, first
+                else:
+                    used, fill = fill, fill + later
+                numbers.append(number)
+                fills.append(used)
+            yield frame[columns].assign(container=numbers, used=fills)
+
+    return cluster_sorted(known, group, position).mapInPandas(pack, packed_type)
 
 
 def plan_volumes(items: DataFrame, keys: list[str], limit: int, position: str = "position", pages: str = "pages") -> DataFrame:
