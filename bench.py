@@ -15,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINE = [
     "near_duplicates", "duplicate_groups", "html_to_text", "split_clauses", "citation_tokens", "candidates", "score_pairs",
-    "greedy_assign", "derive_groups", "reconcile_arrangement", "plan_volumes", "build_plan", "page_labels", "preflight_checks",
+    "derive_groups", "reconcile_arrangement", "plan_volumes", "build_plan", "page_labels", "preflight_checks",
     "matter_findings", "compare_builds", "journal_states", "review_changes",
 ]
 
