@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from casefile.llm import quality
+from casefile.llm import quality, simhash
 from casefile.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +78,9 @@ def _quality_sql() -> str:
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     found = quality.assess(table(spark, folder, "documents"))
     return found.select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
+@query()
+def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
