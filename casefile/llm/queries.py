@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import quality, simhash
-from casefile.llm.common import table
+from casefile.llm import quality, sharding, simhash, warc
+from casefile.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,3 +84,25 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    shards = sharding.shuffle_into(table(spark, folder, "documents"), shared_folder(spark, "shards"))
+    body = F.coalesce("text", F.lit(""))
+    size = (F.octet_length(body) + 16).cast("long").alias("size")
+    grown = F.lit(None).cast("int").alias("grown_shard")
+    return shards.select("doc_id", size, F.crc32(body.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", grown)
+
+
+@query(
+    """
+    WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+    r AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN first <> page_id THEN first END AS refers_to
+    FROM r"""
+)
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    index = warc.archive(spark, table(spark, folder, "pages"), shared_folder(spark, "warc"))
+    return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
