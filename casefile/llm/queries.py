@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import quality, sharding, simhash, warc
+from casefile.llm import pieces, quality, sharding, simhash, warc
 from casefile.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,11 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     index = warc.archive(spark, table(spark, folder, "pages"), shared_folder(spark, "warc"))
     return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op7_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    found = pieces.tokenize(table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), ids=False)
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
