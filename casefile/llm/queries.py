@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import pieces, quality, sharding, simhash, warc
+from casefile.llm import extract, pieces, quality, sharding, simhash, warc
 from casefile.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,14 @@ def op7_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
     found = pieces.tokenize(table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), ids=False)
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query(
+    r"""
+    WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS x FROM pages),
+    t AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
+    d AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM t)
+    SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d"""
+)
+def op6_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
