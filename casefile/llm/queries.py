@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import extract, pieces, quality, sharding, simhash, warc
+from casefile.llm import decontaminate, extract, pieces, quality, sharding, simhash, warc
 from casefile.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,25 @@ def op7_pieces(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op6_extract(spark: SparkSession, folder: str) -> DataFrame:
     return extract.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+DECONTAMINATION_SQL = r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+    i AS (SELECT item_id, ws, least(len(ws), 10) AS n FROM b WHERE len(ws) > 0),
+    win AS (SELECT DISTINCT item_id, n, array_to_string(ws[p:p + n - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS p FROM i)),
+    sizes AS (SELECT DISTINCT n FROM win),
+    pos AS (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d, sizes),
+    hits AS (SELECT r, p, pos.n, item_id FROM pos JOIN win ON win.n = pos.n AND win.s = array_to_string(ws[p:p + pos.n - 1], ' ')),
+    hit AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM hits) GROUP BY r),
+    ids AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY r)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+        sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+    FROM d LEFT JOIN hit USING (r) LEFT JOIN ids USING (r)"""
+
+
+@query(DECONTAMINATION_SQL)
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
