@@ -4,9 +4,9 @@ A text becomes one symbol per character. The agenda holds every adjacent pair wh
 best score is merged, the leftmost of equal ones first, and the two new neighbour pairs join the agenda, until none is
 left. Symbols that are no piece become byte pieces.
 
-No piece has white space behind another character, or a character of ``Vocabulary.alone`` beside others (both are
-checked when a vocabulary is loaded), so no merge crosses those borders. The stretches between them are encoded one by
-one, and the ids of a stretch are remembered within a Python worker, up to ``MEMORY`` stretches.
+Where no piece reaches across a kind of border (white space behind another character, a letter beside another character,
+a line end), no merge crosses it. That is checked when a vocabulary is loaded. The stretches between the borders are
+encoded one by one, and the ids of a stretch are remembered within a Python worker, up to ``MEMORY`` stretches.
 
 Applies to models with the identity normaliser, a dummy prefix and kept white space. Every document of an Arrow batch is
 compared with the library's ids and text; a difference ends the job (``check=False`` leaves that out).
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 MEMORY = 600_000
+SHORT = 32
+NEVER = float("inf")
 
 
 def _each_byte(error: UnicodeError) -> tuple[str, int]:
@@ -54,10 +56,13 @@ class Vocabulary:
         self.bos, self.eos = self.library.bos_id(), self.library.eos_id()
         joined = [p for p in ids if len(p) > 1]
         self.alone = "".join(c for c in "\n\t" if not any(c in p for p in joined))
-        if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in joined):
-            self.border = re.compile(r"(?s).+")
-        else:
-            self.border = re.compile(f"{SPACE}+[^{SPACE}{self.alone}]*|[^{SPACE}{self.alone}]+|[{self.alone}]")
+        # from fine to coarse; the first whose borders cut no piece
+        letters = "".join(sorted({c for p in joined for c in p if c.isalpha()}))
+        ways = [f"{SPACE}*[{letters}]+|{SPACE}*[^{letters}{SPACE}{self.alone}]+|{SPACE}+", f"{SPACE}+[^{SPACE}{self.alone}]*|[^{SPACE}{self.alone}]+", r"(?s:.+)"]
+        for way in ways:
+            self.border = re.compile(f"[{self.alone}]|{way}" if self.alone else way)
+            if all(self.border.match(p).end() == len(p) for p in joined):
+                break
         surface = [self.library.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
         for i in range(n):
             if self.library.is_control(i):
@@ -75,6 +80,18 @@ class Vocabulary:
         if n < 2:
             return [text] if n else []
         symbols = list(text)
+        if n <= SHORT:  # a plain list serves as the agenda; min and index find the leftmost of the best
+            get = cost.get
+            pairs = [get(text[i : i + 2], NEVER) for i in range(n - 1)]
+            while pairs and (best := min(pairs)) < NEVER:
+                i = pairs.index(best)
+                symbols[i : i + 2] = [joined] = [symbols[i] + symbols[i + 1]]
+                del pairs[i]
+                if i < len(pairs):
+                    pairs[i] = get(joined + symbols[i + 1], NEVER)
+                if i:
+                    pairs[i - 1] = get(symbols[i - 1] + joined, NEVER)
+            return symbols
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = [(c, i, i + 1, 2) for i in range(n - 1) if (c := cost.get(text[i : i + 2])) is not None]
         heapify(agenda)
