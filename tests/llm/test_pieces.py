@@ -28,6 +28,10 @@ def test_against_the_library(encode):
         any_ids = [draw.randrange(0, 300) if draw.random() < 0.6 else draw.randrange(32000) for _ in range(draw.randrange(9))]
         for x in (ids, any_ids):
             assert encode.vocabulary.decode(x) == library.decode(x)
+    encode.check([])
+    encode.fresh.append(("▁the", b"1234"))
+    with pytest.raises(ValueError, match="differs"):
+        encode.check([])
 
 
 def test_long_stretches(encode):
