@@ -27,8 +27,7 @@ BROADCAST_ROWS = 2_000_000
 def words(text: Column) -> Column:
     """Runs of ASCII letters and digits and of characters beyond ASCII, A-Z in lower case. Null has none."""
     separators = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    body = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), f"^{separators}|{separators}$", "")
-    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, separators))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), separators), "")
 
 
 def term(word: Column) -> Column:
@@ -38,7 +37,7 @@ def term(word: Column) -> Column:
 def item_terms(items: DataFrame) -> DataFrame:
     """Rows (item, item_id, at, term, size): the words of every item. ``item`` is a key of (item_id, text)."""
     df = items.select("item_id", F.xxhash64("item_id", "text").alias("item"), words(F.col("text")).alias("_w")).distinct()
-    df = df.select("item", "item_id", F.size("_w").alias("size"), F.posexplode("_w").alias("at", "_word"))
+    df = df.select("item", "item_id", F.size("_w").alias("size"), F.posexplode_outer("_w").alias("at", "_word")).filter("at is not null")
     return df.select("item", "item_id", "at", term(F.col("_word")).alias("term"), "size")
 
 
@@ -52,7 +51,8 @@ def build_index(docs: DataFrame, terms: DataFrame, folder: str) -> DataFrame:
         vocabulary = F.broadcast(vocabulary)
     given = docs.select("doc_id", F.hash("text").alias("text_hash"), words(F.col("text")).alias("_w"))
     hashes = F.array_append(F.transform("_w", term), F.lit(END).cast("long"))
-    each = given.select("doc_id", "text_hash", F.posexplode(hashes).alias("pos", "term"))
+    # outer: a filter on the array's size, which a plain explode brings along, would split every text twice
+    each = given.select("doc_id", "text_hash", F.posexplode_outer(hashes).alias("pos", "term"))
     each.join(vocabulary, "term", "left_semi").sortWithinPartitions("term").write.parquet(folder)
     return docs.sparkSession.read.parquet(folder)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import decontaminate, extract, lines, pieces, quality, sharding, simhash, warc
+from casefile.llm import decontaminate, extract, licenses, lines, pieces, quality, sharding, simhash, warc
 from casefile.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,27 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op2_lines(spark: SparkSession, folder: str) -> DataFrame:
     found = lines.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", "text", "n_lines", "n_removed")
+
+
+def _licenses_sql() -> str:
+    notices = ", ".join("('" + k.replace("'", "''") + "', '" + v.replace("'", "''") + "')" for k, v in licenses.NOTICES.items())
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words_ = rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""
+    WITH RECURSIVE classes(length) AS (SELECT 5 UNION ALL SELECT CASE WHEN length < 16 THEN length + 1 ELSE ceil(length * 1.25)::INT END FROM classes WHERE length < 10000),
+    t0 AS (SELECT template, {words_} AS ws FROM (VALUES {notices}) n(template, text)),
+    t1 AS (SELECT template, (SELECT min(length) FROM classes WHERE length >= len(ws)) AS length, array_to_string(ws[p:p + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS p FROM t0)),
+    t AS (SELECT DISTINCT template, length, s FROM t1),
+    n AS (SELECT template, count(*) AS n FROM t GROUP BY template),
+    d AS (SELECT doc_id, {words_} AS ws FROM documents),
+    spots AS (SELECT doc_id, p, array_to_string(ws[p + 1:p + 5], ' ') AS s FROM (SELECT *, unnest(range(0, len(ws) - 4)) AS p FROM d)),
+    hit AS (SELECT doc_id, p, s, template, length, p // length - o AS k FROM spots JOIN t USING (s), (VALUES (0), (1)) v(o)),
+    held AS (SELECT * FROM hit WHERE k >= 0 AND p <= k * length + 2 * length - 5)
+    SELECT DISTINCT doc_id, template, min(p)::INT AS start, (max(p) + 5)::INT AS stop, count(DISTINCT s) / any_value(n.n) AS containment
+    FROM held JOIN n USING (template) GROUP BY doc_id, template, k HAVING count(DISTINCT s) / any_value(n.n) >= 0.8 - 1e-9"""
+
+
+@query(_licenses_sql())
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents"), licenses.templates(spark))
+    return found.select("doc_id", "template", "start", "stop", "containment")
