@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import decontaminate, extract, licenses, lines, pieces, quality, sharding, simhash, warc
+from casefile.llm import decontaminate, extract, licenses, lines, materialise, pieces, quality, sharding, simhash, warc
 from casefile.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,13 @@ def _licenses_sql() -> str:
 def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
     found = licenses.scan(table(spark, folder, "documents"), licenses.templates(spark))
     return found.select("doc_id", "template", "start", "stop", "containment")
+
+
+@query()
+def op4_materialise(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    manifest = materialise.materialise(docs, shared_folder(spark, "tokens"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, end_id=50256)
+    total = manifest.agg(F.coalesce(F.sum("sequences"), F.lit(0))).first()[0]
+    return materialise.sequences(manifest, total)
