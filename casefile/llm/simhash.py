@@ -100,7 +100,9 @@ def links(prints: DataFrame, bits: int = 2, groups: int = 5) -> DataFrame:
     """
     if not 0 <= bits <= 2 < groups:
         raise ValueError("bits is 0, 1 or 2, and groups larger")
-    table = distance_table(prints.select("fingerprint").filter("fingerprint is not null").distinct(), pivots())
+    # dealt anew: the distinct fingerprints are small, their cells are not
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = distance_table(prints.select("fingerprint").filter("fingerprint is not null").distinct().repartition(parts, "fingerprint"), pivots())
     spread = cells(table, bits, groups)
     sizes = cut(spread.groupBy("cell").agg(F.count("*").alias("size")).filter("size > 1"))
     shared = cut(spread.join(sizes, "cell"))
@@ -127,15 +129,15 @@ def through_points(prints: DataFrame, bits: int) -> DataFrame:
     return each.join(least, "point").filter("fingerprint <> a").select("a", F.col("fingerprint").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, groups: int = 5) -> DataFrame:
-    """Per document (doc_id, fingerprint long, component_id, links).
+def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, groups: int = 5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per document (``keep`` columns, fingerprint long, component_id, links, root). ``root`` is the component's smallest fingerprint.
 
     Two documents are linked if their fingerprints differ in at most ``bits`` bits; ``component_id`` is the smallest
     doc_id that can be reached, ``links`` the number of other documents with the same fingerprint plus the kept links to
     other fingerprints. Rows with a null doc_id take part; a component of such rows only has a null id. Repeated rows stay
     rows. Copies share a fingerprint and never meet pair by pair.
     """
-    rows = cut(fingerprints(docs, words))
+    rows = cut(fingerprints(docs, words, keep=keep))
     distinct = cut(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     joined = cut(links(distinct, bits, groups))
     grouped = components(joined).withColumnRenamed("node", "fingerprint")
@@ -143,8 +145,23 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, groups: int
     named = distinct.join(grouped, "fingerprint", "left").join(degree, "fingerprint", "left")
     named = cut(named.select("fingerprint", "least", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("component", "fingerprint").alias("root")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("fingerprint", "component_id", "links")
-    return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id", "links")
+    named = named.join(least, "root").select("fingerprint", "component_id", "links", "root")
+    return rows.join(named, "fingerprint").select(*keep, "fingerprint", "component_id", "links", "root")
+
+
+def keep_one(docs: DataFrame, words: int = 5, bits: int = 2, groups: int = 5) -> DataFrame:
+    """One row of each group of near duplicates: the smallest by (doc_id, text hash), a null doc_id last; all columns.
+
+    Texts meet the table of chosen rows only; of a chosen row that is there more than once one copy stays.
+    """
+    rows = near_duplicates(docs.withColumn("_hash", F.xxhash64("text")), words, bits, groups, keep=("doc_id", "_hash"))
+    each = rows.groupBy("root", "doc_id", "_hash").agg(F.count("*").alias("n"))
+    chosen = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_hash", "n")).alias("c"))
+    chosen = cut(chosen.select(F.col("c.doc_id").alias("_d"), F.col("c._hash").alias("_t"), "c.n"))
+    same = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_t"))
+    once = docs.join(chosen.filter("n = 1"), same, "left_semi")
+    more = docs.join(chosen.filter("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.union(more)
 
 
 def hexadecimal(value: Column) -> Column:
