@@ -71,7 +71,7 @@ AND_TO_THE = rf"(?i){START}and\s+to\s+the{END}"
 
 def mark(prefix: str = "AH") -> str:
     """A written mark of the statement's own prefix, such as ``AH 12``."""
-    return rf"(?i){START}{prefix}\s*(\d{{1,3}}){END}"
+    return rf"(?i){START}{prefix}\s*(\d{{1,9}}){END}"
 
 
 def placeholder_mark(prefix: str = "AH") -> str:

@@ -53,8 +53,8 @@ def _replace_numeric(column: Column, pattern: str, to_number: Callable[[Column],
 
 def decode_entities(column: Column | str) -> Column:
     """Numeric references first, then the named ones, the ampersand last."""
-    text = _replace_numeric(_col(column), r"&#(\d{1,9});", lambda d: d.cast("long"))
-    text = _replace_numeric(text, r"(?i)&#x([0-9a-f]{1,8});", lambda d: F.conv(d, 16, 10).cast("long"))
+    text = _replace_numeric(_col(column), r"&#0*(\d{1,9});", lambda d: d.cast("long"))
+    text = _replace_numeric(text, r"(?i)&#x0*([0-9a-f]{1,8});", lambda d: F.conv(d, 16, 10).cast("long"))
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text
@@ -105,11 +105,11 @@ def tokens(column: Column | str) -> Column:
     return F.array_except(kept, stop)
 
 
-def fingerprint(column: Column | str, words: int = 2000) -> Column:
-    """Distinct words among the first ``words`` long words: the cut comes first."""
+def fingerprint(column: Column | str, words: int | None = None) -> Column:
+    """Distinct long words of the whole text, or of its first ``words`` long words: that cut comes first."""
     cleaned = F.regexp_replace(F.lower(_col(column)), "[^a-z0-9 ]", " ")
     kept = F.filter(F.split(cleaned, " +"), lambda w: F.length(w) > 3)
-    return F.array_distinct(F.slice(kept, 1, words))
+    return F.array_distinct(kept if words is None else F.slice(kept, 1, words))
 
 
 def _with_year(date: Column, default_year: int) -> Column:
@@ -197,7 +197,7 @@ def normalize_mark(column: Column | str, prefix: str = "AH") -> Column:
 
 def source_marker(column: Column | str, prefix: str = "AH") -> Column:
     """``N/A``, the normalised mark, or null."""
-    pattern = rf"(?i){P.START}EXHIBIT\s+({prefix}\s*\d{{1,3}}|N/A){P.END}"
+    pattern = rf"(?i){P.START}EXHIBIT\s+({prefix}\s*\d{{1,9}}|N/A){P.END}"
     raw = F.upper(F.regexp_extract(_col(column), pattern, 1))
     return F.when(raw == "N/A", raw).when(raw != "", normalize_mark(raw, prefix))
 
@@ -232,10 +232,10 @@ def clean_value(column: Column | str) -> Column:
     return F.regexp_replace(text, r"[\s;,.\-]+$", "")
 
 
-def parse_value_list(column: Column | str, items: int = 20, characters: int = 240) -> Column:
-    """Cleaned values, first spelling of each, at most ``items``."""
+def parse_value_list(column: Column | str, items: int | None = None, characters: int | None = None) -> Column:
+    """Cleaned values, first spelling of each; if asked for, at most ``items`` and none longer than ``characters``."""
     parts = F.transform(F.split(_col(column), r"[\n;]+"), clean_value)
-    usable = F.filter(parts, lambda v: (v != "") & (F.length(v) <= characters))
+    usable = F.filter(parts, lambda v: (v != "") & (F.lit(True) if characters is None else F.length(v) <= characters))
     exotic = F.exists(usable, lambda v: v.rlike(NON_ASCII))
     keys = F.transform(F.coalesce(_nfkc_each(F.when(exotic, usable)), usable), _fold_matter)
     pairs = F.arrays_zip(usable.alias("value"), keys.alias("key"))
@@ -243,7 +243,8 @@ def parse_value_list(column: Column | str, items: int = 20, characters: int = 24
 
     def keep(kept: Column, pair: Column) -> Column:
         seen = F.exists(kept, lambda k: k["key"] == pair["key"])
-        return F.when((F.size(kept) >= items) | (pair["key"] == "") | seen, kept).otherwise(
+        full = F.lit(False) if items is None else F.size(kept) >= items
+        return F.when(full | (pair["key"] == "") | seen, kept).otherwise(
             F.concat(kept, F.array(pair))
         )
 

@@ -93,18 +93,22 @@ def container_location(nodes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def renumber(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Dense places from sort keys ``_top`` (one value per node) and ``_inner``.
+    """Dense places from sort keys (``_top``, ``_tie``), one value per node, and (``_inner``, ``_deeper``).
 
     ``_phase`` separates what stays from what is appended; ``_top`` is a double that keeps
-    the old place in its whole part, so that chunks of places bound every window.
+    the old place in its whole part, so that chunks of places bound every window. What shares
+    a place is told apart by a whole number in a column of its own, which loses no precision.
     """
-    node = [*keys, "_phase", "_top"]
+    for column in ("_tie", "_deeper"):
+        if column not in rows.columns:
+            rows = rows.withColumn(column, F.lit(0).cast("long"))
+    node = [*keys, "_phase", "_top", "_tie"]
     tops = rows.groupBy(*node).agg(F.first("section_id", True).alias("_s")).drop("_s")
     tops = tops.withColumn("_chunk", F.floor(F.col("_top") / 65536))
-    tops = number_rows(tops, keys, ["_phase", "_top"], "pos", ["_phase", "_chunk"]).drop("_chunk")
+    tops = number_rows(tops, keys, ["_phase", "_top", "_tie"], "pos", ["_phase", "_chunk"]).drop("_chunk")
     base = rows.drop("pos", "inner_pos").withColumn("_held", F.col("exhibit_id").isNotNull())
     base = base.withColumn("_deep", F.floor(F.col("_inner") / 65536))
-    inner = running_sum(base, node, ["_inner"], F.col("_held").cast("long"), "inner_pos", ["_deep"])
+    inner = running_sum(base, node, ["_inner", "_deeper"], F.col("_held").cast("long"), "inner_pos", ["_deep"])
     placed = inner.join(tops, node)
     in_section = F.col("section_id").isNotNull() & F.col("_held")
     return placed.select(
@@ -128,16 +132,17 @@ def reconcile_arrangement(
     free = ids.filter("after_id IS NULL")
     exhibits = nodes.filter("exhibit_id IS NOT NULL")
     kept = exhibits.join(free.select(*keys, "exhibit_id", "ord"), [*keys, "exhibit_id"])
-    place = ["_phase", "_top", "_inner", "section_id", "heading"]
+    place = ["_phase", "_top", "_tie", "_inner", "_deeper", "section_id", "heading"]
+    zero = F.lit(0).cast("long")
     kept = kept.select(
         *keys, "exhibit_id", F.lit(-1).cast("long").alias("seated"), F.lit(0).alias("_phase"),
-        F.col("pos").cast("double").alias("_top"), F.coalesce("inner_pos", F.lit(0)).cast("double").alias("_inner"),
-        "section_id", "heading",
+        F.col("pos").cast("double").alias("_top"), zero.alias("_tie"), F.coalesce("inner_pos", F.lit(0)).cast("double").alias("_inner"),
+        zero.alias("_deeper"), "section_id", "heading",
     )
     nothing = F.lit(None).cast("string")
     fresh = free.join(exhibits.select(*keys, "exhibit_id"), [*keys, "exhibit_id"], "left_anti").select(
         *keys, "exhibit_id", F.col("ord").alias("seated"), F.lit(1).alias("_phase"), F.col("ord").cast("double").alias("_top"),
-        F.lit(0.0).alias("_inner"), nothing.alias("section_id"), nothing.alias("heading"),
+        zero.alias("_tie"), F.lit(0.0).alias("_inner"), zero.alias("_deeper"), nothing.alias("section_id"), nothing.alias("heading"),
     )
     seats = kept.unionByName(fresh)
     # a parent that is appended later than its attachment is not there yet: the attachment is appended too
@@ -145,13 +150,15 @@ def reconcile_arrangement(
         seats.select(*keys, F.col("exhibit_id").alias("after_id"), "seated", *place), [*keys, "after_id"], "left"
     )
     has_seat = F.coalesce(F.col("seated") < F.col("ord"), F.lit(False))
-    share = F.col("ord") / F.lit(2.0**40)
     headed = has_seat & F.col("section_id").isNotNull()
     children = children.select(
         *keys, "exhibit_id", "seated",
         F.when(has_seat, F.col("_phase")).otherwise(1).alias("_phase"),
-        F.when(headed, F.col("_top")).when(has_seat, F.col("_top") + share).otherwise(F.col("ord").cast("double")).alias("_top"),
-        F.when(headed, F.col("_inner") + share).otherwise(0.0).alias("_inner"),
+        F.when(has_seat, F.col("_top")).otherwise(F.col("ord").cast("double")).alias("_top"),
+        # children of one parent follow it in their own order
+        F.when(headed, F.col("_tie")).when(has_seat, F.col("ord") + 1).otherwise(0).alias("_tie"),
+        F.when(headed, F.col("_inner")).otherwise(0.0).alias("_inner"),
+        F.when(headed, F.col("ord") + 1).otherwise(0).alias("_deeper"),
         F.when(has_seat, F.col("section_id")).alias("section_id"), F.when(has_seat, F.col("heading")).alias("heading"),
     )
     rows = seats.unionByName(children).drop("seated")
@@ -159,7 +166,7 @@ def reconcile_arrangement(
     held = rows.filter("section_id IS NOT NULL").select(*keys, "section_id").distinct()
     empty = sections.join(held, [*keys, "section_id"], "left_anti").select(
         *keys, nothing.alias("exhibit_id"), F.lit(0).alias("_phase"), F.col("pos").cast("double").alias("_top"),
-        F.lit(0.0).alias("_inner"), "section_id", "heading",
+        zero.alias("_tie"), F.lit(0.0).alias("_inner"), zero.alias("_deeper"), "section_id", "heading",
     )
     return renumber(rows.unionByName(empty), keys)
 
@@ -238,9 +245,10 @@ def edit_arrangement(nodes: DataFrame, edits: DataFrame, keys: list[str]) -> tup
         F.when(is_x & (act == "move") & to_section, s_top)
         .when(is_x, before)
         .when((act == "move-section") & in_s, before)
-        .when((act == "delete-section") & in_s, top + F.coalesce("inner_pos", F.lit(0)) / (F.col("s_size") + 1.0))
         .otherwise(top)
     )
+    # the exhibits of a deleted section stand where it stood, in their order
+    new_tie = F.when((act == "delete-section") & in_s, F.coalesce("inner_pos", F.lit(0)).cast("long")).otherwise(0)
     inner = F.coalesce("inner_pos", F.lit(1)).cast("double") - 1
     inner = inner - F.when((act == "move") & (F.col("section_id") == F.col("x_section")) & (F.col("inner_pos") > F.col("x_inner")), 1).otherwise(0)
     new_inner = F.when(is_x & (act == "move") & to_section, before).when(is_x, F.lit(0.0)).otherwise(inner)
@@ -255,11 +263,11 @@ def edit_arrangement(nodes: DataFrame, edits: DataFrame, keys: list[str]) -> tup
     )
     nothing = F.lit(None).cast("string")
     changed = rows.select(
-        *keys, "exhibit_id", F.lit(0).alias("_phase"), new_top.cast("double").alias("_top"), new_inner.cast("double").alias("_inner"),
+        *keys, "exhibit_id", F.lit(0).alias("_phase"), new_top.cast("double").alias("_top"), new_tie.alias("_tie"), new_inner.cast("double").alias("_inner"),
         new_section.cast("string").alias("section_id"), new_heading.cast("string").alias("heading"),
     ).filter("exhibit_id IS NOT NULL OR section_id IS NOT NULL")
     added = good.filter("action = 'add-section' AND e_exhibit IS NULL").select(
-        *keys, nothing.alias("exhibit_id"), F.lit(0).alias("_phase"), (F.col("e_index") - 0.5).alias("_top"), F.lit(0.0).alias("_inner"),
+        *keys, nothing.alias("exhibit_id"), F.lit(0).alias("_phase"), (F.col("e_index") - 0.5).alias("_top"), F.lit(0).cast("long").alias("_tie"), F.lit(0.0).alias("_inner"),
         F.col("e_section").alias("section_id"), F.col("e_heading").alias("heading"),
     )
     # a section that lost its only exhibit stays, as an empty one
@@ -270,7 +278,7 @@ def edit_arrangement(nodes: DataFrame, edits: DataFrame, keys: list[str]) -> tup
         F.count("exhibit_id").alias("_n"), F.min("heading").alias("heading")
     ).filter("_n = 1")
     emptied = emptied.join(lost, [*keys, "section_id"]).select(
-        *keys, nothing.alias("exhibit_id"), F.lit(0).alias("_phase"), (F.col("_old") - 1).cast("double").alias("_top"),
+        *keys, nothing.alias("exhibit_id"), F.lit(0).alias("_phase"), (F.col("_old") - 1).cast("double").alias("_top"), F.lit(0).cast("long").alias("_tie"),
         F.lit(0.0).alias("_inner"), "section_id", "heading",
     )
     return renumber(changed.unionByName(added).unionByName(emptied), keys), refused

@@ -22,12 +22,12 @@ def number_paragraphs(blocks: DataFrame, keys: list[str]) -> DataFrame:
     takes the next list number; a bare number belongs to the next non-empty block unless
     that block is numbered by itself.
     """
-    inline = r"^(\d{1,3})\.\s*(\S[\s\S]*)$"
+    inline = r"^(\d{1,9})\.\s*(\S[\s\S]*)$"
     rows = blocks.withColumn("text", T.normalize_ws("text")).filter(F.col("text") != "")
     rows = rows.withColumn("_chunk", chunk_of("seq"))
     rows = running_sum(rows, keys, ["seq"], F.lit(1).cast("long"), "_at", ["_chunk"])
     text = F.col("text")
-    is_inline, is_bare = text.rlike(inline), text.rlike(r"^\d{1,3}\.$")
+    is_inline, is_bare = text.rlike(inline), text.rlike(r"^\d{1,9}\.$")
     is_list = ~is_inline & F.coalesce(F.col("list_level") == 0, F.lit(False))
     rows = rows.withColumn("_list", is_list)
     rows = running_sum(rows, keys, ["seq"], F.col("_list").cast("long"), "_counter", ["_chunk"])
@@ -151,7 +151,7 @@ def citation_signals(column: Column | str, prefix: str = "AH", has_token: Column
     text = F.col(column) if isinstance(column, str) else column
     if has_token is None:
         has_token = F.size(citation_tokens(text)) > 0
-    written = rf"(?i){P.START}{prefix}\s*(?:\d{{1,3}}|xx){P.END}"
+    written = rf"(?i){P.START}{prefix}\s*(?:\d{{1,9}}|xx){P.END}"
     # The names of the signals.
     signals = [
         (text.rlike(P.REFER), '"I refer to" language'),

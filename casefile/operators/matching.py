@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 from casefile.functions import patterns as P
 from casefile.functions import text as T
 from casefile.functions.ordered import cluster_sorted
+from casefile.operators.components import components
 from casefile.session import cut_lineage
 
 MAX_SCORE, WORD_WEIGHT, DATE_WEIGHT = 88, 65, 23
 CLAIM_SCORE, TIE_MARGIN, ALTERNATIVES = 45, 8, 4
-FOLD_EDGES = 200_000
-"""A matter with more edges than this is decided by parallel rounds, not by one task."""
 
 DATE_AT_ANY_PLACE = rf"(?=(\d{{1,2}}\s+(?:{P.MONTHS.lower()})\s+\d{{4}}))"
 
@@ -33,13 +32,14 @@ def target_profiles(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("target", _digest(F.col("words"), F.array(F.coalesce("date_key", F.lit("")))))
 
 
-def source_profiles(sources: DataFrame, keys: list[str], characters: int = 4000) -> DataFrame:
+def source_profiles(sources: DataFrame, keys: list[str], characters: int | None = None) -> DataFrame:
     """Sources with ``profile``, a digest of the words and dates a candidate can hit.
 
     Dates are found at every place, also inside longer digit runs, because the rule asks
     whether the text contains the candidate's date.
     """
-    words = F.array_sort(T.tokens(F.concat_ws(" ", "name", F.substring("text", 1, characters))))
+    text = F.col("text") if characters is None else F.substring("text", 1, characters)
+    words = F.array_sort(T.tokens(F.concat_ws(" ", "name", text)))
     dates = F.array_sort(F.array_distinct(T.extract_all(F.lower("text"), DATE_AT_ANY_PLACE, 1)))
     rows = sources.withColumn("words", words).withColumn("dates", dates)
     return rows.withColumn("profile", _digest(F.col("words"), F.col("dates")))
@@ -189,8 +189,8 @@ def _choose(explicit: list[int], ranked: list[tuple[int, int]], claimed: set[int
     return best[0][1], best[0][0], "matched"
 
 
-def _decide_matters(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Decides matters in candidate order; a task remembers only the claims of its current matter."""
+def _decide(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Decides key groups in candidate order; a task remembers only the claims of its current group."""
     types = dict(edges.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + DECISION
 
@@ -230,64 +230,6 @@ def _decide_matters(edges: DataFrame, keys: list[str]) -> DataFrame:
     return ordered.mapInPandas(decide, schema)
 
 
-def _round(edges: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Candidates that can be decided now, whatever the others do, and their decisions.
-
-    A candidate is ready when no earlier open candidate has a claimable edge to any source
-    its own decision looks at: its explicit sources and its two best others.
-    """
-    by_best = Window.partitionBy(*keys, "provisional_number").orderBy(F.desc("score"), "source_seq")
-    others = edges.filter("not explicit").withColumn("rank", F.row_number().over(by_best)).filter("rank <= 2")
-    watched = others.unionByName(edges.filter("explicit").withColumn("rank", F.lit(0)))
-    claimable = edges.filter(F.col("explicit") | (F.col("score") >= CLAIM_SCORE))
-    first = claimable.groupBy(*keys, "source_seq").agg(F.min("provisional_number").alias("first_claim"))
-    state = watched.join(first, [*keys, "source_seq"], "left").groupBy(*keys, "provisional_number").agg(
-        F.min(F.coalesce(F.col("first_claim") >= F.col("provisional_number"), F.lit(True))).alias("ready"),
-        F.count_if("explicit").alias("explicit_n"),
-        F.max(F.when(F.col("explicit"), F.col("source_seq"))).alias("explicit_seq"),
-        F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("best"),
-        F.max(F.when(F.col("rank") == 1, F.col("source_seq"))).alias("best_seq"),
-        F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"),
-    )
-    ready = state.filter("ready")
-    matched = F.col("best") >= CLAIM_SCORE
-    tied = F.coalesce(F.col("best") - F.col("second") < TIE_MARGIN, F.lit(False))
-    decision = (
-        F.when(F.col("explicit_n") == 1, "explicit").when(matched & tied, "ambiguous").when(matched, "matched").otherwise("open")
-    )
-    source = F.when(F.col("explicit_n") == 1, F.col("explicit_seq")).when(matched & ~tied, F.col("best_seq"))
-    decided = ready.select(
-        *keys, "provisional_number", source.alias("source_seq"),
-        F.when(F.col("explicit_n") == 1, 99).otherwise(F.col("best")).cast("int").alias("confidence"), decision.alias("decision"),
-    )
-    return decided, ready.select(*keys, "provisional_number")
-
-
-def _decide_in_rounds(edges: DataFrame, keys: list[str], stop_at: int) -> DataFrame:
-    """Parallel rounds for very large matters; exact, because every round decides only what is certain.
-
-    A matter leaves the rounds when what is left of it is small enough to fold. Each round
-    decides at least the first open candidate of each matter.
-    """
-    results = None
-    open_edges = cut_lineage(edges)
-    while True:
-        decided, ready = _round(open_edges, keys)
-        decided = cut_lineage(decided)
-        results = decided if results is None else results.unionByName(decided)
-        claimed = decided.filter("source_seq is not null").select(*keys, "source_seq")
-        left = open_edges.join(ready, [*keys, "provisional_number"], "left_anti").join(
-            claimed, [*keys, "source_seq"], "left_anti"
-        )
-        left = cut_lineage(left)
-        sizes = left.groupBy(*keys).count()
-        small = left.join(sizes.filter(F.col("count") <= stop_at).select(*keys), keys, "left_semi")
-        results = results.unionByName(_decide_matters(small, keys))
-        open_edges = left.join(sizes.filter(F.col("count") > stop_at).select(*keys), keys, "left_semi")
-        if open_edges.isEmpty():
-            return results.filter("decision <> 'open'")
-
-
 def decision_edges(candidates: DataFrame, sources: DataFrame, keys: list[str], prefix: str = "AH") -> DataFrame:
     """Every (candidate, source) pair that can influence a decision: keys, number, source_seq, score, explicit.
 
@@ -317,22 +259,23 @@ def decision_edges(candidates: DataFrame, sources: DataFrame, keys: list[str], p
     return scored.unionByName(explicit)
 
 
-def greedy_assign(
-    candidates: DataFrame, sources: DataFrame, keys: list[str], prefix: str = "AH", fold_edges: int = FOLD_EDGES
-) -> DataFrame:
+def contention_groups(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``_group``: candidates that share a source, directly or through others, have the same one."""
+    node = lambda kind, column: F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(kind), F.col(column).cast("string"))
+    named = edges.withColumn("_node", node("c", "provisional_number"))
+    found = components(named.select(F.col("_node").alias("a"), node("s", "source_seq").alias("b")))
+    return named.join(found.select(F.col("node").alias("_node"), F.col("component").alias("_group")), "_node").drop("_node")
+
+
+def greedy_assign(candidates: DataFrame, sources: DataFrame, keys: list[str], prefix: str = "AH") -> DataFrame:
     """Assigns sources in candidate order; a claimed source is not offered again inside its matter.
 
-    Returns keys, provisional_number, source_seq (null: none), confidence, decision. The
-    scoring is a Spark join; only its few decisive edges are folded per matter, and matters
-    with more than ``fold_edges`` of them are decided by parallel rounds.
+    Returns keys, provisional_number, source_seq (null: none), confidence, decision. The scoring is a Spark join. A
+    decision depends on earlier ones through shared sources only, so the decisive edges are folded in order within each
+    group of candidates that contend for sources, all groups in parallel; a task remembers the claims of one group.
     """
-    edges = cut_lineage(decision_edges(candidates, sources, keys, prefix))
-    sizes = edges.groupBy(*keys).count()
-    large = sizes.filter(F.col("count") > fold_edges).select(*keys)
-    decided = _decide_matters(edges.join(large, keys, "left_anti"), keys)
-    if not large.isEmpty():
-        heavy = edges.join(large, keys, "left_semi")
-        decided = decided.unionByName(_decide_in_rounds(heavy, keys, fold_edges))
+    edges = contention_groups(cut_lineage(decision_edges(candidates, sources, keys, prefix)), keys)
+    decided = _decide(edges, [*keys, "_group"]).drop("_group")
     best = top_sources(candidates.filter(F.col("citation_count") > 1), sources, keys, 1)
     several = candidates.filter(F.col("citation_count") > 1).select(*keys, "provisional_number").join(
         best.select(*keys, "provisional_number", "score"), [*keys, "provisional_number"], "left"

@@ -43,9 +43,11 @@ FIELDS = {
 }
 
 
-def _finish(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Cleans the raw values; empty and over-long ones are not findings."""
-    rows = rows.withColumn("value", T.clean_value("value")).filter((F.col("value") != "") & (F.length("value") <= 240))
+def _finish(rows: DataFrame, keys: list[str], characters: int | None = None) -> DataFrame:
+    """Cleans the raw values; empty ones are no findings, nor, if asked for, those longer than ``characters``."""
+    rows = rows.withColumn("value", T.clean_value("value")).filter("value <> ''")
+    if characters is not None:
+        rows = rows.filter(F.length("value") <= characters)
     return rows.withColumn("normalized", T.normalize_matter("value"))
 
 

@@ -102,7 +102,7 @@ _SIGNALS = [
     (matches("text", P.COPY_AT_EXHIBIT), '"copy ... at exhibit" language'),
     (f"{matches('text', P.DOCUMENT_NOUN)} AND {matches('text', P.EXHIBIT_WORD)}", "document and exhibit language"),
     (sql_governed("text"), "attach or enclose language"),
-    (rf"regexp_matches(text, '(?i)\bAH\s*(?:\d{{1,3}}|xx)\b') OR n_tokens > 0", "statement exhibit placeholder or mark"),
+    (rf"regexp_matches(text, '(?i)\bAH\s*(?:\d{{1,9}}|xx)\b') OR n_tokens > 0", "statement exhibit placeholder or mark"),
 ]
 
 
@@ -154,8 +154,8 @@ def filter_citations(spark: SparkSession, folder: str) -> DataFrame:
     sql=with_views(
         ["v_statement"], *token_steps("v_statement", "matter_id, seq", "t"),
         select=(
-            r"SELECT matter_id, seq, ordinal, CASE WHEN regexp_extract(raw, '(?i)\bAH\s*(\d{1,3})\b', 1) <> '' "
-            r"THEN concat('AH', CAST(regexp_extract(raw, '(?i)\bAH\s*(\d{1,3})\b', 1) AS INT)) ELSE upper(regexp_replace(raw, '\s+', '', 'g')) END AS mark FROM t_tokens"
+            r"SELECT matter_id, seq, ordinal, CASE WHEN regexp_extract(raw, '(?i)\bAH\s*(\d{1,9})\b', 1) <> '' "
+            r"THEN concat('AH', CAST(regexp_extract(raw, '(?i)\bAH\s*(\d{1,9})\b', 1) AS INT)) ELSE upper(regexp_replace(raw, '\s+', '', 'g')) END AS mark FROM t_tokens"
         ),
     )
 )
@@ -174,14 +174,14 @@ _BLOCKS = (
 @query(
     sql=with_views(
         [],
-        ("b", f"SELECT *, regexp_matches(text, '^\\d{{1,3}}\\.\\s*\\S') AS is_inline FROM ({_BLOCKS}) x WHERE text <> ''"),
+        ("b", f"SELECT *, regexp_matches(text, '^\\d{{1,9}}\\.\\s*\\S') AS is_inline FROM ({_BLOCKS}) x WHERE text <> ''"),
         ("c", "SELECT *, (NOT is_inline AND coalesce(list_level = 0, false)) AS is_list FROM b"),
-        ("d", "SELECT *, NOT is_inline AND NOT is_list AND regexp_matches(text, '^\\d{1,3}\\.$') AS is_bare FROM c"),
+        ("d", "SELECT *, NOT is_inline AND NOT is_list AND regexp_matches(text, '^\\d{1,9}\\.$') AS is_bare FROM c"),
         ("e", "SELECT *, sum(is_list::INT) OVER w AS counter, lag(CASE WHEN is_bare THEN replace(text, '.', '') END) OVER w AS pending FROM d WINDOW w AS (PARTITION BY matter_id ORDER BY seq)"),
         select=(
-            "SELECT matter_id, seq, number, text FROM (SELECT matter_id, seq, CAST(CASE WHEN is_inline THEN regexp_extract(text, '^(\\d{1,3})\\.', 1) "
+            "SELECT matter_id, seq, number, text FROM (SELECT matter_id, seq, CAST(CASE WHEN is_inline THEN regexp_extract(text, '^(\\d{1,9})\\.', 1) "
             "WHEN is_list THEN CAST(counter AS VARCHAR) WHEN NOT is_bare THEN pending END AS INT) AS number, "
-            "CASE WHEN is_inline THEN regexp_extract(text, '^\\d{1,3}\\.\\s*(\\S.*)$', 1) ELSE text END AS text FROM e) f WHERE number IS NOT NULL"
+            "CASE WHEN is_inline THEN regexp_extract(text, '^\\d{1,9}\\.\\s*(\\S.*)$', 1) ELSE text END AS text FROM e) f WHERE number IS NOT NULL"
         ),
     )
 )
@@ -345,7 +345,7 @@ def witness_edit(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     sql=with_views(
         ["v_statement"], *token_steps("v_statement", "matter_id, seq", "t"),
-        ("marks", r"SELECT matter_id, seq, unnest(regexp_extract_all(text, '(?i)\bAH\s*(\d{1,3})\b', 1)) AS m FROM v_statement"),
+        ("marks", r"SELECT matter_id, seq, unnest(regexp_extract_all(text, '(?i)\bAH\s*(\d{1,9})\b', 1)) AS m FROM v_statement"),
         select=(
             f"SELECT matter_id, 'placeholder' AS kind, CAST(NULL AS VARCHAR) AS mark, min(seq) AS first_seq FROM (SELECT matter_id, seq FROM t_tokens UNION ALL SELECT matter_id, seq FROM v_statement WHERE regexp_matches(text, '{AH_XX}')) x GROUP BY matter_id "
             "UNION ALL SELECT matter_id, 'written mark', concat('AH', CAST(m AS INT)), min(seq) FROM marks GROUP BY matter_id, CAST(m AS INT)"

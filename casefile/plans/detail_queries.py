@@ -44,7 +44,7 @@ FINDING_STEPS = [
     ("near", f"SELECT l.*, s, {has('l.text', matter.FIELD_LABEL)} AND NOT {has('l.text', matter.CONJUNCTION)} AS lab FROM v_matter_lines l JOIN starts USING (matter_id, role) WHERE l.line_no BETWEEN s + 1 AND s + 8"),
     ("stops", "SELECT matter_id, role, s, min(line_no) AS stop FROM near WHERE lab GROUP BY ALL"),
     ("btw", f"SELECT {_L}, 'party-name' AS kind, CASE WHEN {has('text', matter.ROLE_LINE)} THEN {cut('text', matter.ROLE_LINE)} WHEN length(text) BETWEEN 3 AND 180 THEN text END AS v FROM near LEFT JOIN stops USING (matter_id, role, s) WHERE (stop IS NULL OR line_no < stop) AND NOT {has('text', matter.CONJUNCTION)}"),
-    ("findings", f"SELECT *, {NORMAL} AS normalized FROM (SELECT {_L}, kind, {CLEAN} AS value FROM (SELECT * FROM raw_found UNION ALL SELECT * FROM btw) r) c WHERE value <> '' AND length(value) <= 240"),
+    ("findings", f"SELECT *, {NORMAL} AS normalized FROM (SELECT {_L}, kind, {CLEAN} AS value FROM (SELECT * FROM raw_found UNION ALL SELECT * FROM btw) r) c WHERE value <> ''"),
 ]
 
 

@@ -20,7 +20,7 @@ SCORE_STEPS = [
     *CANDIDATE_STEPS,
     ("ctok", f"SELECT *, list_sort({sql_tokens('concat_ws(' + chr(39) + ' ' + chr(39) + ', description, citation, date_text)')}) AS w FROM cand"),
     ("stok", (
-        f"SELECT *, list_sort({sql_tokens('concat_ws(' + chr(39) + ' ' + chr(39) + ', name, substr(text, 1, 4000))')}) AS w, lower(text) AS low, "
+        f"SELECT *, list_sort({sql_tokens('concat_ws(' + chr(39) + ' ' + chr(39) + ', name, text)')}) AS w, lower(text) AS low, "
         rf"regexp_extract(lower(text), '\d{{1,2}} (?:{P.MONTHS.lower()}) \d{{4}}') AS d FROM v_sources WHERE coalesce(marker <> 'N/A', true)")),
     ("cw", "SELECT matter_id, provisional_number, unnest(w) AS t FROM ctok"),
     ("sw", "SELECT matter_id, source_seq, unnest(w) AS t FROM stok"),

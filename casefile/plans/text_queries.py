@@ -33,8 +33,8 @@ def sql_tokens(expression: str) -> str:
 
 def sql_fingerprint(expression: str) -> str:
     return (
-        f"list_distinct(list_slice(list_filter(string_split_regex(regexp_replace(lower({expression}), '[^a-z0-9 ]', ' ', 'g'), ' +'), "
-        f"lambda w: length(w) > 3), 1, 2000))"
+        f"list_distinct((list_filter(string_split_regex(regexp_replace(lower({expression}), '[^a-z0-9 ]', ' ', 'g'), ' +'), "
+        f"lambda w: length(w) > 3)))"
     )
 
 
@@ -56,7 +56,7 @@ def sql_decode(expression: str) -> str:
             f"LEFT JOIN (SELECT unnest(regexp_extract_all({e}, '{pattern}', 1)) AS c, generate_subscripts(regexp_extract_all({e}, '{pattern}', 1), 1) AS i) m USING (i))"
         )
 
-    step = numeric(expression, r"&#(\d{1,9});", "c")
+    step = numeric(expression, r"&#0*(\d{1,9});", "c")
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&amp;", "&")):
         step = f"replace({step}, '{a}', '{b}')"
     return step
@@ -211,10 +211,10 @@ def normalize_matter(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     sql=(
         "WITH v AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[\\n;]+'), lambda x: "
-        f"regexp_replace(regexp_replace({sql_normalize('x')}, '^[\\s:;,.-]+', ''), '[\\s;,.-]+$', '')), lambda x: x <> '' AND length(x) <= 240) AS vs FROM documents), "
+        f"regexp_replace(regexp_replace({sql_normalize('x')}, '^[\\s:;,.-]+', ''), '[\\s;,.-]+$', '')), lambda x: x <> '') AS vs FROM documents), "
         "k AS (SELECT doc_id, vs, list_transform(vs, lambda x: upper(regexp_replace(x, '\\s*([/,:&()-])\\s*', '\\1', 'g'))) AS ks FROM v), "
         "f AS (SELECT doc_id, list_filter(list_zip(vs, ks), lambda p, i: list_position(ks, p[2]) = i) AS fs FROM k) "
-        "SELECT doc_id, CAST(len(fs[1:20]) AS INT) AS n_values, array_to_string(list_transform(fs[1:20], lambda p: p[1]), '|') AS \"values\" FROM f"
+        "SELECT doc_id, CAST(len(fs) AS INT) AS n_values, array_to_string(list_transform(fs, lambda p: p[1]), '|') AS \"values\" FROM f"
     )
 )
 def value_list(spark: SparkSession, folder: str) -> DataFrame:

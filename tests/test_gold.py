@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from casefile.functions import text as T
 from casefile.functions.ordered import neighbours, number_rows, running_max, running_sum
 from casefile.operators import arrangement, attachments, changes, citations, groups, matching, matter, planning, quality, sheets, similarity
+from casefile.operators.components import components
 from casefile.streaming import journal
 
 K = ["m"]
@@ -175,6 +176,22 @@ def shape(df):
     return out
 
 
+def test_reconcile_keeps_order_in_large_matters(spark):
+    """Children of one parent far down the list: their order is no fraction of the parent's place."""
+    n = 120_000
+    whole = spark.range(1, n + 1).select(
+        F.lit(1).cast("long").alias("m"), F.col("id").alias("pos"), F.lit(None).cast("string").alias("section_id"),
+        F.lit(None).cast("string").alias("heading"), F.lit(None).cast("long").alias("inner_pos"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("exhibit_id"),
+    )
+    extra = [(1, n + i, f"c{i}", f"x{n}") for i in range(6)]
+    added = spark.createDataFrame(extra, "m long, ord long, exhibit_id string, after_id string")
+    ids = whole.select("m", (F.col("pos") - 1).alias("ord"), "exhibit_id").unionByName(added.select("m", "ord", "exhibit_id"))
+    found = arrangement.reconcile_arrangement(whole, ids, K, added.select("m", "exhibit_id", "after_id"))
+    tail = {r.exhibit_id: r.pos for r in found.filter(F.col("pos") >= n).collect()}
+    assert tail == {f"x{n}": n} | {f"c{i}": n + 1 + i for i in range(6)}
+    assert found.select("pos").distinct().count() == n + 6
+
+
 def test_reconcile(spark):
     ids = spark.createDataFrame([(1, i, x) for i, x in enumerate(["keep", "also-keep", "new"])], "m long, ord long, exhibit_id string")
     got = arrangement.reconcile_arrangement(nodes(spark, ("s", ["keep", "stale"]), "also-keep"), ids, K)
@@ -268,10 +285,17 @@ def brute_assign(cands, sources):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("fold_edges", [10_000, 20])
-def test_greedy_assign(spark, fold_edges):
+def test_components(spark):
+    links = [(1, 2), (2, 3), (5, 5), (7, 6), (None, 1)] + [(i, i + 1) for i in range(100, 160)] + [(9, i) for i in range(200, 260)]
+    found = components(spark.createDataFrame(links, "a long, b long")).collect()
+    want = {1: 1, 2: 1, 3: 1, 5: 5, 6: 6, 7: 6, 9: 9} | {i: 100 for i in range(100, 161)} | {i: 9 for i in range(200, 260)}
+    assert {r.node: r.component for r in found} == want and len(found) == len(want)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_greedy_assign(spark):
     cands, sources = greedy_inputs(spark, copies=3)
-    got = matching.greedy_assign(cands, sources, K, fold_edges=fold_edges)
+    got = matching.greedy_assign(cands, sources, K)
     got = sorted((tuple(r) for r in got.select("m", "provisional_number", "source_seq", "confidence", "decision").collect()), key=str)
     assert got == brute_assign(cands, sources.collect())
 
