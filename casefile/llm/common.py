@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casefile.operators.components import components  # noqa: F401  (used by several operators)
 from casefile.session import cut_lineage
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -57,30 +58,3 @@ def count_of(text: Column, characters: str) -> Column:
     for c in characters:
         rest = F.replace(rest, F.lit(c), F.lit(""))
     return (F.octet_length(text) - F.octet_length(rest)).cast("long")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """Connected components of undirected ``links`` (a, b): rows (node, component), component = smallest node.
-
-    Alternates two steps that keep the components and shorten paths: every node hands its larger neighbours to its
-    smallest neighbour, then its smaller ones. A hub costs a partial minimum and a join, never one task with all its
-    links. The end is seen from one row (count and checksum of the links). Null ends and loops (a, a) add nothing but
-    the node itself; an empty input gives no rows.
-    """
-    # reliable cut: the rounds read it again and again
-    nodes = cut(links.select("a", "b").filter("a is not null and b is not null").distinct())
-    edges = nodes.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    before = None
-    while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        edges = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        handed = edges.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(handed.union(least.select("a", F.col("m").alias("b"))).distinct())
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == before:
-            break
-        before = seen
-    roots = nodes.select("a").union(nodes.select("b")).distinct().select(F.col("a").alias("node"))
-    return roots.join(edges.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("component"))
