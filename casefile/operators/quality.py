@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from casefile.functions import text as T
 from casefile.operators.matching import match_resolutions
 
-LISTED = 100
-"""A detail names its members up to this many; beyond, it gives their number and the member tables list them."""
-
 # Code of each label.
 CODES = {
     "Email attachment needs a decision": "email.attachment_unresolved",
@@ -158,16 +155,14 @@ def duplicate_numbers(groups: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def repeat_checks(groups: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
-    """``members``: keys, group_id, seq, paragraph, kind; ``groups`` carries ``mark`` of its first citation."""
-    pending = groups.filter("decision_pending")
-    short = pending.filter(F.col("members") <= LISTED).select(*keys, "group_id")
-    listed = members.filter("kind IN ('canonical', 'joined')").join(short, [*keys, "group_id"], "left_semi")
-    listed = listed.groupBy(*keys, "group_id").agg(F.array_sort(F.collect_list(F.struct("seq", "paragraph"))).alias("m"))
-    named = F.array_join(F.transform("m", lambda x: F.concat(F.lit("paragraph "), x["paragraph"].cast("string"))), " and ")
-    subject = F.coalesce(named, F.concat(F.col("members").cast("string"), F.lit(" citations")))
-    rows = pending.join(listed, [*keys, "group_id"], "left")
+    """``members``: keys, group_id, kind; ``groups`` carries ``mark`` of its first citation.
+
+    Details give numbers of members, at every size; ``finding_members`` lists the members as rows.
+    """
+    counts = members.filter("kind IN ('canonical', 'joined')").groupBy(*keys, "group_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = groups.filter("decision_pending").join(counts, [*keys, "group_id"])
     detail = F.concat(
-        subject, F.lit(" select identical file content. Confirm whether they are the same exhibit or separate exhibits.")
+        F.col("n").cast("string"), F.lit(" citation(s) select identical file content. Confirm whether they are the same exhibit or separate exhibits.")
     )
     first = finding(rows, keys, _id("repeat-pending-", "source_sha256"), "blocking", "Repeat source decision required", detail)
     detail = F.concat(
@@ -225,38 +220,61 @@ def rotation_checks(pages: DataFrame, keys: list[str]) -> DataFrame:
     warning = finding(counts, keys, _id("rotation-", "source_id"), "warning", "Rotated pages", detail, F.col("sha256"))
     both = rotated.filter("has_annotations")
     sizes = both.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    short = both.join(sizes.filter(F.col("n") <= LISTED).select(*group), group, "left_semi")
-    listed = short.groupBy(*group).agg(F.array_join(F.transform(F.array_sort(F.collect_list("page")), lambda p: p.cast("string")), ", ").alias("pages"))
-    rows = sizes.join(listed, group, "left")
-    one = F.col("n") == 1
-    subject = F.coalesce(
-        F.concat(F.when(one, "Page ").otherwise("Pages "), "pages"), F.concat(F.col("n").cast("string"), F.lit(" pages"))
-    )
     detail = F.concat(
-        subject, F.when(one, " combines").otherwise(" combine"),
-        F.lit(" page rotation with PDF annotations. Flatten the rotation and annotations in a trusted PDF application, then replace this source file."),
+        F.col("n").cast("string"),
+        F.lit(" page(s) combine page rotation with PDF annotations. Flatten the rotation and annotations in a trusted PDF application, then replace this source file."),
     )
     return warning.unionByName(
-        finding(rows, keys, _id("rotated-annotations-", "source_id"), "blocking", "Rotated PDF annotations cannot be preserved safely", detail, F.col("sha256"))
+        finding(sizes, keys, _id("rotated-annotations-", "source_id"), "blocking", "Rotated PDF annotations cannot be preserved safely", detail, F.col("sha256"))
     )
 
 
-def action_checks(actions: DataFrame, keys: list[str], shown: int = 8) -> DataFrame:
-    """Active document actions: the first few by (page, location, action), and how many more."""
-    group = [*keys, "source_id", "sha256"]
-    window = Window.partitionBy(*group).orderBy("page", "location", "action")
-    first = actions.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= shown)
-    phrase = F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(" "), "location", F.lit(" /"), "action")
-    listed = first.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_n", phrase.alias("t")))).alias("l"))
-    counts = actions.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.join(listed, group)
-    more = F.when(F.col("n") > shown, F.concat(F.lit(" and "), (F.col("n") - shown).cast("string"), F.lit(" more"))).otherwise("")
+def action_checks(actions: DataFrame, keys: list[str]) -> DataFrame:
+    """Active document actions, their number per source."""
+    counts = actions.groupBy(*keys, "source_id", "sha256").agg(F.count(F.lit(1)).alias("n"))
     detail = F.concat(
-        F.array_join(F.transform("l", lambda x: x["t"]), ", "), more,
-        F.lit(". Flatten or remove the actions in a trusted PDF application, then replace this source file. "
+        F.col("n").cast("string"),
+        F.lit(" active action(s). Flatten or remove the actions in a trusted PDF application, then replace this source file. "
               "Ordinary visual annotations and internal page links remain supported."),
     )
-    return finding(rows, keys, _id("active-pdf-actions-", "source_id"), "blocking", "Active PDF actions are not permitted", detail, F.col("sha256"))
+    return finding(counts, keys, _id("active-pdf-actions-", "source_id"), "blocking", "Active PDF actions are not permitted", detail, F.col("sha256"))
+
+
+def finding_members(rows: DataFrame, keys: list[str], check_id: Column, order: Column, member: Column) -> DataFrame:
+    """What a finding counts, one row each: keys, check_id, position (a sortable text or number), member."""
+    return rows.select(*keys, check_id.alias("check_id"), order.cast("string").alias("position"), member.cast("string").alias("member"))
+
+
+def page_members(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """The pages behind ``rotation_checks``."""
+    rotated = pages.filter(F.pmod("rotation", F.lit(360)) != 0)
+    page = F.concat(F.lit("page "), F.col("page").cast("string"))
+    return finding_members(rotated, keys, _id("rotation-", "source_id"), F.col("page"), page).unionByName(
+        finding_members(rotated.filter("has_annotations"), keys, _id("rotated-annotations-", "source_id"), F.col("page"), page)
+    )
+
+
+def action_members(actions: DataFrame, keys: list[str]) -> DataFrame:
+    """The actions behind ``action_checks``."""
+    phrase = F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(" "), "location", F.lit(" /"), "action")
+    return finding_members(actions, keys, _id("active-pdf-actions-", "source_id"), F.col("page"), phrase)
+
+
+def copy_members(sources: DataFrame, selected: DataFrame, keys: list[str]) -> DataFrame:
+    """The files behind ``copy_checks``: copies of a content, and those outside the selection."""
+    same = sources.groupBy(*keys, "sha256").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    copies = sources.join(same, [*keys, "sha256"], "left_semi")
+    return finding_members(copies, keys, _id("duplicate-", "sha256"), F.col("source_seq"), F.col("name")).unionByName(
+        finding_members(_outside_copies(sources, selected, keys)[1], keys, F.lit("duplicate-physical-copies"), F.col("source_seq"), F.col("name"))
+    )
+
+
+def repeat_members(groups: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
+    """The citations behind ``repeat_checks``. ``members``: keys, group_id, seq, paragraph, kind."""
+    pending = groups.filter("decision_pending").select(*keys, "group_id", "source_sha256")
+    rows = members.drop("source_sha256").filter("kind IN ('canonical', 'joined')").join(pending, [*keys, "group_id"])
+    paragraph = F.concat(F.lit("paragraph "), F.col("paragraph").cast("string"))
+    return finding_members(rows, keys, _id("repeat-pending-", "source_sha256"), F.col("seq"), paragraph)
 
 
 def workbook_checks(workbooks: DataFrame, sheets: DataFrame, notes: DataFrame, keys: list[str]) -> DataFrame:
@@ -287,33 +305,29 @@ def workbook_checks(workbooks: DataFrame, sheets: DataFrame, notes: DataFrame, k
     return reduce(DataFrame.unionByName, parts)
 
 
+def _outside_copies(sources: DataFrame, selected: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Sources that are not selected, and those of them with the content of a selected one."""
+    chosen = selected.select(*keys, "source_id").distinct()
+    outside = sources.join(chosen, [*keys, "source_id"], "left_anti")
+    hashes = sources.join(chosen, [*keys, "source_id"], "left_semi").select(*keys, "sha256").distinct()
+    return outside, outside.join(hashes, [*keys, "sha256"], "left_semi")
+
+
 def copy_checks(sources: DataFrame, selected: DataFrame, keys: list[str]) -> DataFrame:
     """Duplicate contents, unselected copies of selected contents, and the number of unreferenced files.
 
     ``sources``: keys, source_id, name, sha256. ``selected``: keys, source_id.
     """
-    def names(rows: DataFrame, group: list[str], sizes: DataFrame) -> DataFrame:
-        short = rows.join(sizes.filter(F.col("n") <= LISTED).select(*group), group, "left_semi")
-        listed = short.groupBy(*group).agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_seq", "name"))), lambda x: x["name"]), ", ").alias("names")
-        )
-        joined = sizes.join(listed, group, "left")
-        return joined.withColumn("names", F.coalesce("names", F.concat(F.col("n").cast("string"), F.lit(" files"))))
-
     same = sources.groupBy(*keys, "sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = names(sources, [*keys, "sha256"], same)
     duplicate = finding(
-        rows, keys, _id("duplicate-", "sha256"), "warning", "Duplicate source files",
-        F.concat(F.lit("Identical source hashes: "), "names", F.lit(".")),
+        same, keys, _id("duplicate-", "sha256"), "warning", "Duplicate source files",
+        F.concat(F.lit("Identical source hashes: "), F.col("n").cast("string"), F.lit(" files.")),
     )
-    chosen = selected.select(*keys, "source_id").distinct()
-    outside = sources.join(chosen, [*keys, "source_id"], "left_anti")
-    hashes = sources.join(chosen, [*keys, "source_id"], "left_semi").select(*keys, "sha256").distinct()
-    copies = outside.join(hashes, [*keys, "sha256"], "left_semi")
+    outside, copies = _outside_copies(sources, selected, keys)
     sizes = copies.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     copy = finding(
-        names(copies, keys, sizes), keys, F.lit("duplicate-physical-copies"), "warning", "Unselected duplicate physical copies",
-        F.concat("names", F.lit(" contain identical content to a selected source and will remain outside the bundle.")),
+        sizes, keys, F.lit("duplicate-physical-copies"), "warning", "Unselected duplicate physical copies",
+        F.concat(F.col("n").cast("string"), F.lit(" file(s) contain identical content to a selected source and will remain outside the bundle.")),
     )
     counts = outside.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     unused = finding(

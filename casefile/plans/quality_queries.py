@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,8 +112,8 @@ def check_numbers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 R_REPEATS = ("r_repeats", (
-    f"SELECT g.matter_id, concat('repeat-pending-', g.source_sha256) AS check_id, 'blocking' AS severity, 'Repeat source decision required' AS label, concat(m.names, ' select identical file content. Confirm whether they are the same exhibit or separate exhibits.') AS detail, {NULLS} "
-    "FROM grp g JOIN (SELECT matter_id, source_sha256, string_agg(concat('paragraph ', paragraph), ' and ' ORDER BY seq) AS names FROM sel WHERE r = 1 OR repeat_decision = 'same' GROUP BY ALL) m ON m.matter_id = g.matter_id AND m.source_sha256 = g.source_sha256 WHERE decision_pending "
+    f"SELECT g.matter_id, concat('repeat-pending-', g.source_sha256) AS check_id, 'blocking' AS severity, 'Repeat source decision required' AS label, concat(m.n, ' citation(s) select identical file content. Confirm whether they are the same exhibit or separate exhibits.') AS detail, {NULLS} "
+    "FROM grp g JOIN (SELECT matter_id, source_sha256, count(*) AS n FROM sel WHERE r = 1 OR repeat_decision = 'same' GROUP BY ALL) m ON m.matter_id = g.matter_id AND m.source_sha256 = g.source_sha256 WHERE decision_pending "
     f"UNION ALL SELECT matter_id, concat('repeat-selection-', source_sha256), 'blocking', 'Conflicting repeat selection', concat('AH ', seq, ' has conflicting page ranges or worksheet selections across citations. Align them before confirming one exhibit.'), {NULLS} FROM grp WHERE selection_conflict"))
 
 
@@ -169,8 +171,8 @@ def _with_matter(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame
 
 R_ROTATION = ("r_rotation", (
     "SELECT matter_id, concat('rotation-', source_id) AS check_id, 'warning' AS severity, 'Rotated pages' AS label, concat(count(*), ' page(s) have a non-zero rotation and should be visually reviewed.') AS detail, concat('h', source_id) AS source_sha256, CAST(NULL AS VARCHAR) AS candidate_id FROM rot GROUP BY matter_id, source_id "
-    "UNION ALL SELECT matter_id, concat('rotated-annotations-', source_id), 'blocking', 'Rotated PDF annotations cannot be preserved safely', concat(CASE WHEN count(*) = 1 THEN 'Page ' ELSE 'Pages ' END, string_agg(CAST(page AS VARCHAR), ', ' ORDER BY page), CASE WHEN count(*) = 1 THEN ' combines' ELSE ' combine' END, "
-    "' page rotation with PDF annotations. Flatten the rotation and annotations in a trusted PDF application, then replace this source file.'), concat('h', source_id), NULL FROM rot WHERE has_annotations GROUP BY matter_id, source_id"))
+    "UNION ALL SELECT matter_id, concat('rotated-annotations-', source_id), 'blocking', 'Rotated PDF annotations cannot be preserved safely', concat(count(*), "
+    "' page(s) combine page rotation with PDF annotations. Flatten the rotation and annotations in a trusted PDF application, then replace this source file.'), concat('h', source_id), NULL FROM rot WHERE has_annotations GROUP BY matter_id, source_id"))
 ROT = ("rot", "SELECT o_custkey AS matter_id, p.* FROM v_pages p JOIN orders ON o_orderkey = source_id WHERE rotation % 360 <> 0")
 
 
@@ -181,8 +183,8 @@ def check_rotation(spark: SparkSession, folder: str) -> DataFrame:
 
 ACT = ("act", "SELECT o_custkey AS matter_id, a.*, row_number() OVER (PARTITION BY source_id ORDER BY page, location, action) AS n, count(*) OVER (PARTITION BY source_id) AS c FROM v_actions a JOIN orders ON o_orderkey = source_id")
 R_ACTIONS = ("r_actions", (
-    "SELECT matter_id, concat('active-pdf-actions-', source_id) AS check_id, 'blocking' AS severity, 'Active PDF actions are not permitted' AS label, concat(string_agg(concat('page ', page, ' ', location, ' /', action), ', ' ORDER BY n) FILTER (n <= 8), CASE WHEN any_value(c) > 8 THEN concat(' and ', any_value(c) - 8, ' more') ELSE '' END, "
-    "'. Flatten or remove the actions in a trusted PDF application, then replace this source file. Ordinary visual annotations and internal page links remain supported.') AS detail, concat('h', source_id) AS source_sha256, CAST(NULL AS VARCHAR) AS candidate_id FROM act GROUP BY matter_id, source_id"))
+    "SELECT matter_id, concat('active-pdf-actions-', source_id) AS check_id, 'blocking' AS severity, 'Active PDF actions are not permitted' AS label, concat(count(*), "
+    "' active action(s). Flatten or remove the actions in a trusted PDF application, then replace this source file. Ordinary visual annotations and internal page links remain supported.') AS detail, concat('h', source_id) AS source_sha256, CAST(NULL AS VARCHAR) AS candidate_id FROM act GROUP BY matter_id, source_id"))
 
 
 @query(sql=with_views(["v_actions"], ACT, R_ACTIONS, select="SELECT * FROM r_actions"))
@@ -228,14 +230,14 @@ COPY = [
     ("outside", "SELECT * FROM v_sources ANTI JOIN claims USING (matter_id, source_id)"),
     ("cps", "SELECT * FROM outside SEMI JOIN (SELECT matter_id, sha256 FROM v_sources SEMI JOIN claims USING (matter_id, source_id)) h USING (matter_id, sha256)"),
     ("r_copies", (
-        f"SELECT matter_id, concat('duplicate-', sha256) AS check_id, 'warning' AS severity, 'Duplicate source files' AS label, concat('Identical source hashes: ', string_agg(name, ', ' ORDER BY source_seq), '.') AS detail, {NULLS} FROM v_sources GROUP BY matter_id, sha256 HAVING count(*) > 1 "
-        f"UNION ALL SELECT matter_id, 'duplicate-physical-copies', 'warning', 'Unselected duplicate physical copies', concat(string_agg(name, ', ' ORDER BY source_seq), ' contain identical content to a selected source and will remain outside the bundle.'), {NULLS} FROM cps GROUP BY matter_id "
+        f"SELECT matter_id, concat('duplicate-', sha256) AS check_id, 'warning' AS severity, 'Duplicate source files' AS label, concat('Identical source hashes: ', count(*), ' files.') AS detail, {NULLS} FROM v_sources GROUP BY matter_id, sha256 HAVING count(*) > 1 "
+        f"UNION ALL SELECT matter_id, 'duplicate-physical-copies', 'warning', 'Unselected duplicate physical copies', concat(count(*), ' file(s) contain identical content to a selected source and will remain outside the bundle.'), {NULLS} FROM cps GROUP BY matter_id "
         f"UNION ALL SELECT matter_id, 'unreferenced', 'warning', 'Unreferenced evidence', concat(count(*), ' supplied file(s) are outside the confirmed bundle.'), {NULLS} FROM outside GROUP BY matter_id")),
 ]
 
 
 def _copies(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
-    selected = rows.filter("included AND evidence_id IS NOT NULL").select("matter_id", F.col("evidence_id").alias("source_id"))
+    selected = _selected(rows)
     sources = cut_lineage(views.sources(spark, folder).select("matter_id", "source_id", "source_seq", "name", "sha256"))
     return quality.copy_checks(sources, selected, KEYS)
 
@@ -245,6 +247,35 @@ def check_copies(spark: SparkSession, folder: str) -> DataFrame:
     return _copies(spark, folder, G.candidates(spark, folder))
 
 
+def _selected(rows: DataFrame) -> DataFrame:
+    return rows.filter("included AND evidence_id IS NOT NULL").select("matter_id", F.col("evidence_id").alias("source_id"))
+
+
+MEMBERS = " UNION ALL ".join([
+    "SELECT matter_id, concat('rotation-', source_id) AS check_id, CAST(page AS VARCHAR) AS position, concat('page ', page) AS member FROM rot",
+    "SELECT matter_id, concat('rotated-annotations-', source_id), CAST(page AS VARCHAR), concat('page ', page) FROM rot WHERE has_annotations",
+    "SELECT matter_id, concat('active-pdf-actions-', source_id), CAST(page AS VARCHAR), concat('page ', page, ' ', location, ' /', action) FROM act",
+    "SELECT matter_id, concat('duplicate-', sha256), CAST(source_seq AS VARCHAR), name FROM v_sources SEMI JOIN (SELECT matter_id, sha256 FROM v_sources GROUP BY ALL HAVING count(*) > 1) t USING (matter_id, sha256)",
+    "SELECT matter_id, 'duplicate-physical-copies', CAST(source_seq AS VARCHAR), name FROM cps",
+    "SELECT s.matter_id, concat('repeat-pending-', s.source_sha256), CAST(s.seq AS VARCHAR), concat('paragraph ', s.paragraph) FROM sel s JOIN grp g ON s.matter_id = g.matter_id AND s.source_sha256 = g.source_sha256 WHERE g.decision_pending AND (s.r = 1 OR s.repeat_decision = 'same')",
+])
+
+
+@query(sql=with_views(["v_candidates", "v_pages", "v_actions", "v_sources"], *G.GROUP_STEPS, ROT, ACT, *COPY[:3], select=MEMBERS))
+def finding_members(spark: SparkSession, folder: str) -> DataFrame:
+    """What the findings count, one row each, at every size."""
+    rows = G.candidates(spark, folder)
+    found, members = groups.derive_groups(rows, KEYS), groups.group_members(rows, KEYS).withColumn("paragraph", F.col("seq"))
+    sources = cut_lineage(views.sources(spark, folder).select("matter_id", "source_id", "source_seq", "name", "sha256"))
+    parts = [
+        quality.page_members(_with_matter(spark, folder, views.source_pages(spark, folder)), KEYS),
+        quality.action_members(_with_matter(spark, folder, views.actions(spark, folder)), KEYS),
+        quality.copy_members(sources, _selected(rows), KEYS),
+        quality.repeat_members(found, members, KEYS),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def sql_decorated(source: str) -> str:
     whens = " ".join(f"WHEN '{label}' THEN '{code}'" for label, code in quality.CODES.items())
     legal = ", ".join(f"'{x}'" for x in quality.HARD_LEGAL)
