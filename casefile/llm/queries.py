@@ -184,6 +184,5 @@ def op4_materialise(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    manifest = materialise.materialise(docs, shared_folder(spark, "tokens"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, end_id=50256)
-    total = manifest.agg(F.coalesce(F.sum("sequences"), F.lit(0))).first()[0]
-    return materialise.sequences(manifest, total)
+    index = materialise.materialise(docs, shared_folder(spark, "tokens"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, end_id=50256)
+    return materialise.sequences(index)
