@@ -7,12 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.operators import groups, quality
+from casefile.operators import groups, quality, similarity
 from casefile.plans import group_queries as G
 from casefile.plans import matching_queries as M
 from casefile.plans import planning_queries as PL
 from casefile.plans.catalog import query
 from casefile.plans.sql import with_views
+from casefile.plans.text_queries import _SETS, NEAR_STEPS
 from casefile.session import cut_lineage
 from casefile.sources import views
 
@@ -81,17 +82,18 @@ SHEETS_SQL = (
 )
 
 
-@query(
-    sql=with_views(
-        ["v_attachments"], ATT, ("sh", SHEETS_SQL), ("p", "SELECT * FROM att WHERE disposition = 'print-with-email' AND extension = 'xlsx'"),
-        ("b", "SELECT p.*, s.anyi FROM p LEFT JOIN (SELECT child_sha256, bool_or(included) AS anyi FROM sh GROUP BY 1) s USING (child_sha256)"),
-        select=(
-            "SELECT matter_id, concat('email-xlsx-unreadable-', candidate_id, '-', identity) AS check_id, 'blocking' AS severity, 'Unreadable workbook' AS label, concat(name, ' could not be analysed for printing with ', source_name, '.') AS detail, child_sha256 AS source_sha256, candidate_id FROM b WHERE anyi IS NULL "
-            "UNION ALL SELECT matter_id, concat('email-xlsx-none-', candidate_id, '-', identity), 'blocking', 'No worksheet selected', concat('Select at least one worksheet for ', name, ' before printing it with ', source_name, '.'), child_sha256, candidate_id FROM b WHERE NOT anyi "
-            "UNION ALL SELECT matter_id, concat('email-xlsx-empty-', candidate_id, '-', identity, '-', sheet_name), 'blocking', 'Unreadable worksheet', concat(name, ' / ', sheet_name, ' has no readable cells in its selected range.'), child_sha256, candidate_id FROM p JOIN sh USING (child_sha256) WHERE included AND cell_count = 0"
-        ),
-    )
-)
+R_ATTACHED_BOOKS = [
+    ("att_sheet", SHEETS_SQL), ("att_print", "SELECT * FROM att WHERE disposition = 'print-with-email' AND extension = 'xlsx'"),
+    ("att_book", "SELECT p.*, s.anyi FROM att_print p LEFT JOIN (SELECT child_sha256, bool_or(included) AS anyi FROM att_sheet GROUP BY 1) s USING (child_sha256)"),
+    ("r_attached_books", (
+    "SELECT matter_id, concat('email-xlsx-unreadable-', candidate_id, '-', identity) AS check_id, 'blocking' AS severity, 'Unreadable workbook' AS label, concat(name, ' could not be analysed for printing with ', source_name, '.') AS detail, child_sha256 AS source_sha256, candidate_id FROM att_book WHERE anyi IS NULL "
+    "UNION ALL SELECT matter_id, concat('email-xlsx-none-', candidate_id, '-', identity), 'blocking', 'No worksheet selected', concat('Select at least one worksheet for ', name, ' before printing it with ', source_name, '.'), child_sha256, candidate_id FROM att_book WHERE NOT anyi "
+    "UNION ALL SELECT matter_id, concat('email-xlsx-empty-', candidate_id, '-', identity, '-', sheet_name), 'blocking', 'Unreadable worksheet', concat(name, ' / ', sheet_name, ' has no readable cells in its selected range.'), child_sha256, candidate_id FROM att_print JOIN att_sheet USING (child_sha256) WHERE included AND cell_count = 0"
+    )),
+]
+
+
+@query(sql=with_views(["v_attachments"], ATT, *R_ATTACHED_BOOKS, select="SELECT * FROM r_attached_books"))
 def check_attached_workbooks(spark: SparkSession, folder: str) -> DataFrame:
     hashes = views.attachments(spark, folder).select("child_sha256").distinct().filter(F.ascii("child_sha256") % 5 != 0)
     sheets = hashes.select("child_sha256", F.explode(F.array(F.lit(1), F.lit(2))).alias("n")).select(
@@ -107,7 +109,11 @@ R_NUMBERS = ("r_numbers", f"SELECT matter_id, concat('duplicate-AH1:', n) AS che
 
 @query(sql=with_views(["v_candidates"], *G.GROUP_STEPS, R_NUMBERS, select="SELECT * FROM r_numbers"))
 def check_numbers(spark: SparkSession, folder: str) -> DataFrame:
-    found = groups.derive_groups(G.candidates(spark, folder), KEYS)
+    return _numbers(G.candidates(spark, folder))
+
+
+def _numbers(rows: DataFrame) -> DataFrame:
+    found = groups.derive_groups(rows, KEYS)
     return quality.duplicate_numbers(found.withColumn("exhibit_number", F.floor(F.col("exhibit_number") / 2)), KEYS)
 
 
@@ -192,23 +198,23 @@ def check_actions(spark: SparkSession, folder: str) -> DataFrame:
     return quality.action_checks(_with_matter(spark, folder, views.actions(spark, folder)), KEYS)
 
 
-@query(
-    sql=with_views(
-        ["v_cells"],
-        ("bk", "SELECT s_suppkey AS source_id, s_nationkey AS matter_id, concat('h', s_suppkey) AS sha256 FROM supplier"),
-        ("sh", "SELECT source_id, concat('Sheet', k) AS sheet_name, CASE WHEN k = 1 THEN 'hidden' ELSE 'visible' END AS state, k = 0 AND source_id % 4 <> 0 AS included, CASE WHEN source_id % 5 = 0 THEN 0 ELSE n END AS cell_count FROM (SELECT sheet_id AS source_id, row_no % 3 AS k, count(*) AS n FROM v_cells WHERE sheet_id % 9 <> 0 GROUP BY ALL) z"),
-        ("nt", "SELECT source_id, sheet_name, CASE WHEN source_id % 2 = 0 THEN 'Fidelity check failed: cut.' ELSE 'Drawings.' END AS warning FROM sh"),
-        ("b", "SELECT bk.*, a FROM bk LEFT JOIN (SELECT source_id, bool_or(included) AS a FROM sh GROUP BY 1) s USING (source_id)"),
-        ("e", "SELECT * FROM bk JOIN sh USING (source_id)"),
-        select=(
-            "SELECT matter_id, concat('xlsx-unreadable-', source_id) AS check_id, 'blocking' AS severity, 'Unreadable workbook' AS label, 'Workbook analysis was not available.' AS detail, sha256 AS source_sha256, CAST(NULL AS VARCHAR) AS candidate_id FROM b WHERE a IS NULL "
-            "UNION ALL SELECT matter_id, concat('xlsx-none-', source_id), 'blocking', 'No worksheet selected', 'Select at least one visible worksheet to include.', sha256, NULL FROM b WHERE NOT a "
-            "UNION ALL SELECT matter_id, concat('xlsx-empty-', source_id, '-', sheet_name), 'blocking', 'Unreadable worksheet', concat(sheet_name, ' has no readable cells in its selected range.'), sha256, NULL FROM e WHERE included AND cell_count = 0 "
-            "UNION ALL SELECT matter_id, concat('xlsx-hidden-', source_id, '-', sheet_name), 'warning', 'Hidden worksheet not selected', concat(sheet_name, ' is ', state, ' and is not selected.'), sha256, NULL FROM e WHERE state <> 'visible' AND NOT included "
-            "UNION ALL SELECT matter_id, concat('xlsx-plan-', source_id, '-', sheet_name, '-', warning), CASE WHEN warning LIKE 'Fidelity%' THEN 'blocking' ELSE 'warning' END, CASE WHEN warning LIKE 'Fidelity%' THEN 'Workbook print area would omit content' ELSE 'Worksheet print note' END, concat(sheet_name, ': ', warning), sha256, NULL FROM e JOIN nt USING (source_id, sheet_name) WHERE included"
-        ),
-    )
-)
+R_WORKBOOKS = [
+    ("wb_bk", "SELECT s_suppkey AS source_id, s_nationkey AS matter_id, concat('h', s_suppkey) AS sha256 FROM supplier"),
+    ("wb_sh", "SELECT source_id, concat('Sheet', k) AS sheet_name, CASE WHEN k = 1 THEN 'hidden' ELSE 'visible' END AS state, k = 0 AND source_id % 4 <> 0 AS included, CASE WHEN source_id % 5 = 0 THEN 0 ELSE n END AS cell_count FROM (SELECT sheet_id AS source_id, row_no % 3 AS k, count(*) AS n FROM v_cells WHERE sheet_id % 9 <> 0 GROUP BY ALL) z"),
+    ("wb_nt", "SELECT source_id, sheet_name, CASE WHEN source_id % 2 = 0 THEN 'Fidelity check failed: cut.' ELSE 'Drawings.' END AS warning FROM wb_sh"),
+    ("wb_b", "SELECT wb_bk.*, a FROM wb_bk LEFT JOIN (SELECT source_id, bool_or(included) AS a FROM wb_sh GROUP BY 1) s USING (source_id)"),
+    ("wb_e", "SELECT * FROM wb_bk JOIN wb_sh USING (source_id)"),
+    ("r_workbooks", (
+        "SELECT matter_id, concat('xlsx-unreadable-', source_id) AS check_id, 'blocking' AS severity, 'Unreadable workbook' AS label, 'Workbook analysis was not available.' AS detail, sha256 AS source_sha256, CAST(NULL AS VARCHAR) AS candidate_id FROM wb_b WHERE a IS NULL "
+            "UNION ALL SELECT matter_id, concat('xlsx-none-', source_id), 'blocking', 'No worksheet selected', 'Select at least one visible worksheet to include.', sha256, NULL FROM wb_b WHERE NOT a "
+            "UNION ALL SELECT matter_id, concat('xlsx-empty-', source_id, '-', sheet_name), 'blocking', 'Unreadable worksheet', concat(sheet_name, ' has no readable cells in its selected range.'), sha256, NULL FROM wb_e WHERE included AND cell_count = 0 "
+            "UNION ALL SELECT matter_id, concat('xlsx-hidden-', source_id, '-', sheet_name), 'warning', 'Hidden worksheet not selected', concat(sheet_name, ' is ', state, ' and is not selected.'), sha256, NULL FROM wb_e WHERE state <> 'visible' AND NOT included "
+            "UNION ALL SELECT matter_id, concat('xlsx-plan-', source_id, '-', sheet_name, '-', warning), CASE WHEN warning LIKE 'Fidelity%' THEN 'blocking' ELSE 'warning' END, CASE WHEN warning LIKE 'Fidelity%' THEN 'Workbook print area would omit content' ELSE 'Worksheet print note' END, concat(sheet_name, ': ', warning), sha256, NULL FROM wb_e JOIN wb_nt USING (source_id, sheet_name) WHERE included"
+    )),
+]
+
+
+@query(sql=with_views(["v_cells"], *R_WORKBOOKS, select="SELECT * FROM r_workbooks"))
 def check_workbooks(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("s_suppkey")
     books = views.table(spark, folder, "supplier").select(
@@ -286,17 +292,18 @@ def sql_decorated(source: str) -> str:
 
 
 PREFLIGHT = [
-    CAND, *G.GROUP_STEPS, R_UNMATCHED, R_UNCONFIRMED, R_REPEATS, FILES, R_FILES, ROT, R_ROTATION, ACT, R_ACTIONS, *COPY,
-    ("found", " UNION ALL ".join(f"SELECT {', '.join(COLUMNS)} FROM {r}" for r in ("r_unmatched", "r_unconfirmed", "r_repeats", "r_files", "r_rotation", "r_actions", "r_copies"))),
+    CAND, *G.GROUP_STEPS, R_UNMATCHED, R_UNCONFIRMED, R_REPEATS, FILES, R_FILES, ROT, R_ROTATION, ACT, R_ACTIONS, *COPY, ATT, R_ATTACHMENT, *R_ATTACHED_BOOKS, R_NUMBERS, *R_WORKBOOKS,
+    ("found", " UNION ALL ".join(f"SELECT {', '.join(COLUMNS)} FROM {r}" for r in ("r_unmatched", "r_unconfirmed", "r_attachment", "r_attached_books", "r_numbers", "r_repeats", "r_files", "r_rotation", "r_actions", "r_workbooks", "r_copies"))),
     ("allc", f"SELECT * FROM found UNION ALL SELECT c_custkey, 'ready', 'pass', 'Ready to build', 'No blocking preflight issue was found.', {NULLS} FROM customer WHERE c_custkey NOT IN (SELECT matter_id FROM found WHERE severity = 'blocking')"),
 ]
 
 
-@query(sql=with_views(["v_candidates", "v_pages", "v_actions", "v_sources"], *PREFLIGHT, select=sql_decorated("allc")))
+@query(sql=with_views(["v_candidates", "v_pages", "v_actions", "v_sources", "v_attachments", "v_cells"], *PREFLIGHT, select=sql_decorated("allc")))
 def preflight_checks(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _candidates(spark, folder)
+    rows = cut_lineage(_candidates(spark, folder))
     rules = [
-        quality.unmatched(rows, KEYS), quality.unconfirmed(rows, KEYS), _repeats(rows),
+        quality.unmatched(rows, KEYS), quality.unconfirmed(rows, KEYS), check_attachments(spark, folder), check_attached_workbooks(spark, folder),
+        _numbers(rows), _repeats(rows), check_workbooks(spark, folder),
         quality.source_checks(_file_sources(spark, folder), KEYS),
         quality.rotation_checks(_with_matter(spark, folder, views.source_pages(spark, folder)), KEYS),
         quality.action_checks(_with_matter(spark, folder, views.actions(spark, folder)), KEYS),
@@ -443,3 +450,17 @@ def readiness_blockers(spark: SparkSession, folder: str) -> DataFrame:
         F.col("c_custkey").alias("matter_id"), F.col("c_mktsegment").alias("name")
     )
     return quality.readiness_blockers(counts, M.checks_table(spark, folder), KEYS, open_)
+
+
+@query(
+    sql=with_views(
+        [], *_SETS, *NEAR_STEPS,
+        select="SELECT concat('near-duplicate-', left_id, '-', right_id) AS check_id, 'warning' AS severity, 'Possible near-duplicate sources' AS label, "
+        f"concat('doc-', left_id, ' and doc-', right_id, ' have unusually similar extracted text (', percent, '%). Review them before selecting both.') AS detail, {NULLS} FROM near",
+    )
+)
+def check_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    sources = views.table(spark, folder, "documents").select(F.col("doc_id").alias("source_id"), "text")
+    pairs = similarity.near_duplicates(sources)
+    name = lambda c: F.concat(F.lit("doc-"), F.col(c).cast("string"))
+    return quality.near_duplicate_checks(pairs.withColumns({"left_name": name("left_id"), "right_name": name("right_id")}), [])

@@ -299,18 +299,16 @@ _SETS = (
 )
 
 
-@query(
-    sql=with_views(
-        [],
-        *_SETS,
-        ("words", "SELECT id, len(t) AS n, unnest(t) AS w FROM sets"),
-        ("common", "SELECT a.id AS left_id, b.id AS right_id, least(any_value(a.n), any_value(b.n)) AS n, count(*) AS c FROM words a JOIN words b ON a.w = b.w AND a.id < b.id GROUP BY 1, 2"),
-        select=(
-            "SELECT left_id, right_id, l.copies AS left_copies, r.copies AS right_copies, CAST(floor(c::DOUBLE / n * 100 + 0.5) AS INT) AS percent "
-            "FROM common JOIN sets l ON l.id = left_id JOIN sets r ON r.id = right_id WHERE c::DOUBLE / n >= 0.82"
-        ),
-    )
-)
+NEAR_STEPS = [
+    ("words", "SELECT id, len(t) AS n, unnest(t) AS w FROM sets"),
+    ("common", "SELECT a.id AS left_id, b.id AS right_id, least(any_value(a.n), any_value(b.n)) AS n, count(*) AS c FROM words a JOIN words b ON a.w = b.w AND a.id < b.id GROUP BY 1, 2"),
+    ("near", (
+        "SELECT left_id, right_id, l.copies AS left_copies, r.copies AS right_copies, CAST(floor(c::DOUBLE / n * 100 + 0.5) AS INT) AS percent "
+        "FROM common JOIN sets l ON l.id = left_id JOIN sets r ON r.id = right_id WHERE c::DOUBLE / n >= 0.82")),
+]
+
+
+@query(sql=with_views([], *_SETS, *NEAR_STEPS, select="SELECT * FROM near"))
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return similarity.near_duplicates(_documents(spark, folder))
 
