@@ -90,7 +90,8 @@ def attachment_tree(parts: DataFrame, keys: list[str]) -> DataFrame:
 def flatten_messages(parts: DataFrame, root: str, depth: int = MAX_DEPTH) -> DataFrame:
     """Ordinals of attachments given as parent links (message_id, parent_id, place, ...).
 
-    ``depth`` is a fixed small number, so the recursion is that many joins.
+    ``depth`` is a fixed small number, so the recursion is that many joins. What lies deeper, or hangs on no known
+    message, stays too, without an ordinal and with an ``issue``.
     """
     level = parts.filter(F.col("parent_id") == F.col(root)).withColumn("ordinal", F.col("place").cast("string"))
     result = level
@@ -98,7 +99,10 @@ def flatten_messages(parts: DataFrame, root: str, depth: int = MAX_DEPTH) -> Dat
         up = level.select(F.col(root), F.col("message_id").alias("parent_id"), F.col("ordinal").alias("_up"))
         level = parts.join(up, [root, "parent_id"]).withColumn("ordinal", F.concat_ws(".", "_up", F.col("place").cast("string"))).drop("_up")
         result = result.unionByName(level)
-    return result
+    result = result.withColumn("issue", F.lit(None).cast("string"))
+    rest = parts.join(result.select(root, "message_id"), [root, "message_id"], "left_anti")
+    rest = rest.withColumn("ordinal", F.lit(None).cast("string")).withColumn("issue", F.lit("attachment is nested too deeply"))
+    return result.unionByName(rest)
 
 
 def attachment_limits(parts: DataFrame, keys: list[str], max_children: int = MAX_CHILDREN, max_bytes: int = MAX_CHILD_BYTES) -> DataFrame:

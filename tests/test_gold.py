@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from casefile.functions import text as T
 from casefile.functions.ordered import neighbours, number_rows, running_max, running_sum
-from casefile.operators import arrangement, attachments, changes, citations, groups, matching, matter, planning, quality, sheets, similarity
+from casefile.operators import arrangement, attachments, changes, citations, groups, matching, matter, planning, quality, report, sheets, similarity
 from casefile.operators.components import components
 from casefile.streaming import journal
 
@@ -448,3 +448,61 @@ def test_review_change_stream(spark, tmp_path):
     query.awaitTermination(120)
     assert query.exception() is None
     assert rows(spark.read.parquet(str(tmp_path / "state/version=0")), "candidate_id", "evidence_id", "confirmed") == expected
+
+
+def test_nested_messages_keep_deep_ones(spark):
+    data = [(1, 10, 1, 1), (1, 11, 10, 2), (1, 12, 11, 1), (1, 13, 12, 1), (1, 14, 1, 2)]
+    parts = spark.createDataFrame(data, "root long, message_id long, parent_id long, place int")
+    found = {r.message_id: (r.ordinal, r.issue) for r in attachments.flatten_messages(parts, "root", depth=3).collect()}
+    assert found == {10: ("1", None), 14: ("2", None), 11: ("1.2", None), 12: ("1.2.1", None), 13: (None, "attachment is nested too deeply")}
+
+
+def test_identity_and_disposition(spark):
+    children = spark.createDataFrame([(1, "h", "1", "c", "h:1:c"), (2, "h", "2", "d", "h:1:d")], "id long, parent_sha256 string, ordinal string, child_sha256 string, identity string")
+    assert rows(attachments.verify_identity(children), "id") == [(2,)]
+    decisions = spark.createDataFrame([(1, "leave-out"), (2, "print-with-email")], "id long, disposition string")
+    assert rows(attachments.by_disposition(children, decisions, ["id"], "print-with-email"), "id") == [(2,)]
+
+
+def test_patches_bind_to_the_reviewed_hash(spark):
+    schema = "m long, role string, finding_id string, value string, reviewed_sha256 string"
+    found = spark.createDataFrame([(1, "cover", "a", "Old", "h"), (1, "cover", "b", "Gone", "h"), (1, "cover", "c", "Kept", "h")], schema)
+    patches = spark.createDataFrame([(1, "cover", "a", "h", " New. "), (1, "cover", "b", "h", " "), (1, "cover", "c", "stale", "Other")], "m long, role string, finding_id string, pdf_sha256 string, value string")
+    assert rows(matter.apply_patches(found, patches, K), "finding_id", "value") == [("a", "New"), ("c", "Kept")]
+
+
+def test_resolutions_need_current_hashes(spark):
+    given = spark.createDataFrame([(1, "r1", "s", "h", None), (1, "r2", "s", "old", None), (1, "r3", None, None, "c1"), (1, "r4", None, None, "c2"), (1, "r5", None, None, None)],
+                                  "m long, id string, source_id string, source_sha256 string, candidate_id string")
+    hashes = spark.createDataFrame([(1, "s", "h")], "m long, source_id string, sha256 string")
+    valid = spark.createDataFrame([(1, "c1")], "m long, candidate_id string")
+    assert rows(changes.valid_resolutions(given, hashes, valid, K), "id") == [("r1",), ("r3",), ("r5",)]
+
+
+def test_flat_saved_order(spark):
+    order = spark.createDataFrame([(1, 1, "x"), (1, 2, "y")], "m long, position int, exhibit_id string")
+    nodes = arrangement.legacy_order(order, K)
+    ids = spark.createDataFrame([(1, 0, "y"), (1, 1, "x"), (1, 2, "z")], "m long, ord long, exhibit_id string")
+    assert rows(arrangement.reconcile_arrangement(nodes, ids, K), "pos", "exhibit_id") == [(1, "x"), (2, "y"), (3, "z")]
+
+
+def test_files_in_and_out(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "note.TXT").write_bytes(b"hello")
+    found = attachments.read_sources(spark, f"file://{tmp_path}/in").first()
+    assert (found["name"], found["extension"], found["bytes"], found["sha256"]) == ("note.TXT", "txt", 5, hashlib.sha256(b"hello").hexdigest())
+    manifest = spark.createDataFrame([(2, "file", "b"), (1, "file", "a"), (1, "note", "c")], "m long, kind string, entry string")
+    report.write_manifest(manifest, f"file://{tmp_path}/manifest", K)
+    assert rows(spark.read.json(f"file://{tmp_path}/manifest"), "m", "kind", "entry") == [(1, "file", "a"), (1, "note", "c"), (2, "file", "b")]
+    lines = spark.createDataFrame([(1, "head", 1, 1, "t")], "m long, section string, row_order int, line_no int, text string")
+    report.write_report(lines, f"file://{tmp_path}/report", K)
+    assert rows(spark.read.parquet(f"file://{tmp_path}/report"), "text") == [("t",)]
+
+
+def test_source_marker_and_wide_numbers(spark):
+    df = spark.createDataFrame([("EXHIBIT AH 12 follows",), ("Exhibit N/A",), ("exhibit AH1000",), ("none",), ("&#0000000065;&#x000042;&#0;",)], "t string")
+    got = [r.x for r in df.select(T.source_marker("t").alias("x")).collect()]
+    assert got == ["AH12", "N/A", "AH1000", None, None]
+    assert df.select(T.decode_entities("t").alias("d")).collect()[4].d.startswith("AB")
