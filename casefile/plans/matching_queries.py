@@ -49,12 +49,12 @@ def _sources(spark: SparkSession, folder: str) -> DataFrame:
         ("fs", "SELECT matter_id, min(source_seq) AS source_seq, count(*) AS sources FROM stok GROUP BY matter_id, w, d"),
         select=(
             "SELECT matter_id, provisional_number AS first_candidate, source_seq AS first_source, candidates, sources, score FROM scores "
-            "JOIN fc USING (matter_id, provisional_number) JOIN fs USING (matter_id, source_seq) WHERE score >= 38"
+            "JOIN fc USING (matter_id, provisional_number) JOIN fs USING (matter_id, source_seq) WHERE score >= 1"
         ),
     )
 )
 def score_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = matching.score_pairs(_candidates(spark, folder), _sources(spark, folder), KEYS, 38)
+    pairs = matching.score_pairs(_candidates(spark, folder), _sources(spark, folder), KEYS)
     return pairs.select("matter_id", "first_candidate", "first_source", "candidates", "sources", "score")
 
 
