@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casefile.functions.ordered import chunk_of, number_rows
-from casefile.operators.arrangement import flatten_arrangement  # noqa: F401  (order of a snapshot)
 
 # Categories of a comparison, in report order, and the snapshot columns behind them.
 EXHIBIT_CATEGORIES = {
@@ -40,6 +40,7 @@ CATEGORY_ORDER = [
     "Pagination changed", "Non-A4 page treatment changed", "Build resolution or OCR exception changed", "Statement suggestions changed",
 ]
 FIRST_VERSION = "This is the first version of this bundle."
+OTHER_CHANGE = "Substantive build inputs changed"
 
 
 def build_fingerprint(snapshot: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,13 +76,19 @@ def _differs(columns: Sequence[str]) -> Column:
 
 def compare_builds(
     prev: DataFrame, cur: DataFrame, keys: list[str], prev_settings: DataFrame | None = None, cur_settings: DataFrame | None = None,
-    categories: Mapping[str, Sequence[str]] = EXHIBIT_CATEGORIES,
+    categories: Mapping[str, Sequence[str]] = EXHIBIT_CATEGORIES, fingerprints: DataFrame | None = None,
 ) -> DataFrame:
     """Named differences between two builds of each matter, in fixed order.
 
     Snapshots: keys, exhibit_id and any of the category columns, ``position`` (order) and
-    ``section`` (heading over the exhibit). Settings: keys, setting, value.
+    ``section`` (heading over the exhibit). Settings: keys, setting, value. A matter counts that
+    has exhibits or settings in either build; it is a first version if the earlier one has
+    neither. ``fingerprints`` (keys, previous, current): a matter whose fingerprints differ has
+    changed even if no category tells how.
     """
+    def of(*frames: DataFrame | None) -> DataFrame:
+        return reduce(DataFrame.union, [f.select(*keys) for f in frames if f is not None]).distinct()
+
     rows = _exhibit_changes(prev, cur, keys)
     have = [c[2:] for c in rows.columns if c.startswith("p_")]
     flags = [F.count_if("_p").alias("_prev_n"), F.count_if("_c").alias("_cur_n")]
@@ -91,7 +98,8 @@ def compare_builds(
         if used:
             names.append(name)
             flags.append(F.max(_differs(used)).alias(f"_f{len(names) - 1}"))
-    agg = rows.groupBy(*keys).agg(*flags)
+    agg = of(prev, cur, prev_settings, cur_settings).join(rows.groupBy(*keys).agg(*flags), keys, "left")
+    agg = agg.join(of(prev, prev_settings).withColumn("_known", F.lit(True)), keys, "left")
     hits = {name: F.col(f"_f{i}") for i, name in enumerate(names)}
     if "Included exhibit decisions changed" in hits:
         hits["Included exhibit decisions changed"] = hits["Included exhibit decisions changed"] | (F.col("_prev_n") != F.col("_cur_n"))
@@ -107,7 +115,10 @@ def compare_builds(
             test = F.arrays_overlap("_settings", F.array(*[F.lit(s) for s in settings]))
             hits[name] = F.coalesce(test, F.lit(False))
     found = F.filter(F.array(*[F.when(hits[n], F.lit(n)) for n in CATEGORY_ORDER if n in hits]), lambda x: x.isNotNull())
-    first = F.col("_prev_n") == 0
+    first = F.col("_known").isNull()
+    if fingerprints is not None:
+        agg = agg.join(fingerprints.select(*keys, (~F.col("previous").eqNullSafe(F.col("current"))).alias("_other")), keys, "left")
+        found = F.when((F.size(found) == 0) & F.coalesce("_other", F.lit(False)), F.array(F.lit(OTHER_CHANGE))).otherwise(found)
     named = F.when(first, F.array(F.lit(FIRST_VERSION))).otherwise(found)
     rows = agg.select(*keys, named.alias("_names"), first.alias("_first"))
     summary = (

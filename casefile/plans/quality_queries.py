@@ -137,7 +137,6 @@ def check_repeats(spark: SparkSession, folder: str) -> DataFrame:
 def _file_sources(spark: SparkSession, folder: str) -> DataFrame:
     """One file per order, several orders of a matter sharing a content."""
     key = F.col("o_orderkey")
-    status = F.when(key % 5 == 0, "completed").when(key % 5 == 1, "failed").when(key % 5 == 2, "unavailable").otherwise("not-needed")
     # every attribute follows from the content, as it would for real files
     content = key % 30
     status = F.when(content % 5 == 0, "completed").when(content % 5 == 1, "failed").when(content % 5 == 2, "unavailable").otherwise("not-needed")

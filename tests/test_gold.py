@@ -506,3 +506,17 @@ def test_source_marker_and_wide_numbers(spark):
     got = [r.x for r in df.select(T.source_marker("t").alias("x")).collect()]
     assert got == ["AH12", "N/A", "AH1000", None, None]
     assert df.select(T.decode_entities("t").alias("d")).collect()[4].d.startswith("AB")
+
+
+def test_compare_builds_of_settings_and_fingerprints(spark):
+    exhibit = "m long, exhibit_id string, description string"
+    prev = spark.createDataFrame([(1, "x", "a"), (2, "x", "a")], exhibit)
+    cur = spark.createDataFrame([(1, "x", "a"), (2, "x", "a"), (3, "x", "a"), (4, "x", "a")], exhibit)
+    setting = sorted(s for names in changes.SETTING_CATEGORIES.values() for s in names)[0]
+    before = spark.createDataFrame([(4, setting, "1"), (5, setting, "1")], "m long, setting string, value string")
+    after = spark.createDataFrame([(4, setting, "1"), (5, setting, "2")], "m long, setting string, value string")
+    prints = spark.createDataFrame([(1, "f", "g"), (2, "f", "f")], "m long, previous string, current string")
+    found = {r.m: (r.changed, r.summary) for r in changes.compare_builds(prev, cur, K, before, after, fingerprints=prints).collect()}
+    assert found[1] == (True, changes.OTHER_CHANGE) and found[2] == (False, "No substantive change")
+    assert found[3] == (True, "Bundle created.") and found[4][1] != "Bundle created."
+    assert found[5][0] and set(found) == {1, 2, 3, 4, 5}
