@@ -20,16 +20,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casefile.llm.common import components, cut
+from casefile.llm.jaccard import shingle_hashes, similar_groups
 
 SEGMENT = 2
 CROWD = 64
 """Fingerprints of a table cell up to which it is compared pair by pair."""
-CHUNK = 1 << 16
 
 
 def signed(x: int) -> int:
@@ -48,19 +47,10 @@ def fingerprint(text: bytes, words: int) -> int:
 
     Works through the hashes in chunks, so a text of any length needs the memory of its words only.
     """
-    found = text.lower().split()  # of bytes: A-Z only, and ASCII white space only
-    if not found:
-        return 0
-    joined = b" ".join(found)
-    ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1) - 1
-    n = max(1, len(found) - words + 1)
-    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    stops = ends[min(words, len(found)) - 1 :].tolist()
-    ones = np.zeros(64, dtype=np.int64)
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, n, CHUNK):
-        hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[at : at + CHUNK], stops[at : at + CHUNK])], dtype="<u8")
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in shingle_hashes(text, words):
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
@@ -149,12 +139,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, groups: int
     return rows.join(named, "fingerprint").select(*keep, "fingerprint", "component_id", "links", "root")
 
 
-def keep_one(docs: DataFrame, words: int = 5, bits: int = 2, groups: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near duplicates: the smallest by (doc_id, text hash), a null doc_id last; all columns.
 
+    Near duplicates have a Jaccard similarity of ``similarity`` or more in their word shingles, see ``jaccard``: texts so
+    similar differ in about ten bits of a fingerprint, too many for tables of agreeing groups.
     Texts meet the table of chosen rows only; of a chosen row that is there more than once one copy stays.
     """
-    rows = near_duplicates(docs.withColumn("_hash", F.xxhash64("text")), words, bits, groups, keep=("doc_id", "_hash"))
+    rows = similar_groups(docs.withColumn("_hash", F.xxhash64("text")).select("doc_id", "_hash", "text"), words, similarity)
     each = rows.groupBy("root", "doc_id", "_hash").agg(F.count("*").alias("n"))
     chosen = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_hash", "n")).alias("c"))
     chosen = cut(chosen.select(F.col("c.doc_id").alias("_d"), F.col("c._hash").alias("_t"), "c.n"))
