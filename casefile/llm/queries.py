@@ -151,7 +151,7 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op2_lines(spark: SparkSession, folder: str) -> DataFrame:
-    found = lines.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    found = lines.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"), unit="characters")
     return found.select("doc_id", "text", "n_lines", "n_removed")
 
 
