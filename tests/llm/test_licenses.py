@@ -67,3 +67,17 @@ def test_bands_and_empty_tables(spark):
     assert [r.template for r in L.scan(docs, known).collect()] == ["MIT notice"]
     assert L.scan(docs.filter("false"), known).count() == 0
     assert L.scan(docs, known.filter("false")).count() == 0
+
+
+def test_common_licences(spark):
+    """A whole text, a body beyond the opening passage, other versions and identifiers."""
+    docs = [
+        (1, "Some words before. " + L.NOTICES["GPL-2.0 notice"]),
+        (2, "SPDX-License-Identifier: LGPL-2.1-only"),
+        (3, "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+        (4, "x y " + L.NOTICES["MIT disclaimer"]),
+        (5, L.NOTICES["BSD-3-Clause text"]),
+    ]
+    found = L.scan(spark.createDataFrame(docs, "doc_id long, text string"), L.templates(spark)).collect()
+    got = {(r.doc_id, r.template) for r in found}
+    assert {(1, "GPL-2.0 notice"), (2, "SPDX LGPL-2.1-only"), (3, "CC-BY-SA-4.0 notice"), (4, "MIT disclaimer"), (5, "BSD-3-Clause text")} <= got
