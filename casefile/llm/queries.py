@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import decontaminate, extract, licenses, lines, materialise, pieces, quality, sharding, simhash, warc
+from casefile.llm import decontaminate, extract, importance, licenses, lines, materialise, minhash, pieces, quality, sharding, simhash, warc, whitening
 from casefile.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,19 @@ def op4_materialise(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     index = materialise.materialise(docs, shared_folder(spark, "tokens"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, end_id=50256)
     return materialise.sequences(index)
+
+
+@query()
+def op11_importance(spark: SparkSession, folder: str) -> DataFrame:
+    found = importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query()
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query()
+def op13_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))
