@@ -10,9 +10,10 @@ is so low that a pair at the asked similarity misses it with a probability below
 * Skip: the m - 1 most frequent lists of a set, where the crowds are, are never merged. Their collisions are counted by
   probing the two signatures of a pair that has met.
 
-A posting list is not merged pair by pair. Its members first meet one of them; those that are connected with it need not
-meet each other, and only the others meet the list. Long lists are then split by a second coordinate: two sets with m
-collisions share two of their K - m + 2 rarest lists.
+A posting list is not merged pair by pair. Its members first meet the one of them whose lists are the longest, the centre
+of a family of copies; those that are connected with it need not meet each other, and only the others meet the list. In
+long lists these meet where they share one of their rarest shingles, as similar sets must: copies that differ from the
+centre each in its own way have many shingles of their own, and no pair of them is formed.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ from casefile.llm.common import components, stored
 from casefile.llm.jaccard import shingle_set
 
 COORDINATES = 48
-LONG_LIST = 256
-"""Members of a posting list above which those still apart meet by a second coordinate as well."""
-BLOCK = 1 << 10
+LONG_LIST = 32
+"""Members of a posting list above which those still apart meet by their rarest shingles."""
+BLOCK, CHUNK = 1 << 10, 1 << 16
 
 
 def least_matches(percent: int, miss: float, coordinates: int = COORDINATES) -> int:
@@ -79,18 +80,22 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "_hash", "text").mapInArrow(run, schema)
 
 
-def prefixes(sets: DataFrame, matches: int) -> DataFrame:
-    """Rows (key, size, _tokens): the rarest lists, K - m + 2 at most, of the sets that can have m collisions at all.
+def rarest(posted: DataFrame, skip: Column) -> DataFrame:
+    """Rows (key, size, weight, _tokens): the rarest of the tokens each key shares with others, less its last ``skip`` ones.
 
-    A token is coordinate and value in one number. Lists of one set are counted, they are the rarest, but not kept.
+    ``posted`` has (key, size, token). Tokens are ordered from rare to frequent. Those of one key come first but meet
+    nothing, so they are left out; ``weight`` adds up the frequencies of the others.
     """
+    shared = posted.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    kept = posted.join(shared, "token").groupBy("key", "size").agg(F.sum("n").alias("weight"), F.sort_array(F.collect_list(F.struct("n", "token"))).alias("_t"))  # a set at most
+    kept = kept.withColumn("_left", F.size("_t") - skip).filter("_left > 0")
+    return kept.select("key", "size", "weight", F.transform(F.slice("_t", F.lit(1), F.greatest("_left", F.lit(0)).cast("int")), lambda x: x["token"]).alias("_tokens"))
+
+
+def coordinates(sets: DataFrame) -> DataFrame:
+    """Rows (key, size, token); a token is coordinate and value in one number."""
     token = F.shiftleft(F.col("_i").cast("long"), 32).bitwiseOR(F.col("_v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    posted = sets.select("key", "size", F.posexplode("signature").alias("_i", "_v")).select("key", "size", token.alias("token"))
-    frequent = posted.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    kept = posted.join(frequent, "token").groupBy("key", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("_t"))  # COORDINATES at most
-    left = F.size("_t") - matches
-    kept = kept.filter(left >= 0).withColumn("_tokens", F.slice("_t", F.lit(1), left + 2))
-    return kept.select("key", "size", F.transform("_tokens", lambda x: x["token"]).alias("_tokens"), (left + 1).alias("_base"))
+    return sets.select("key", "size", F.posexplode("signature").alias("_i", "_v")).select("key", "size", token.alias("token"))
 
 
 def alike(x: Column, y: Column, percent: int) -> Column:
@@ -134,42 +139,59 @@ def verified(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of("a", "_a"), "a").join(of("b", "_b"), "b").select("a", "b", "_a", "_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def each_shingle(shingles: DataFrame) -> DataFrame:
+    """Rows (key, size, token) of (key, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, held in zip(batch.column(0), batch.column(1)):
+                found = np.frombuffer(held.as_buffer(), dtype="<i8")
+                for at in range(0, len(found), CHUNK):
+                    part = found[at : at + CHUNK]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), key.as_py())), pa.array(np.full(len(part), len(found))), pa.array(part)], names=["key", "size", "token"])
+
+    return shingles.select("key", "shingles").mapInArrow(run, "key bigint, size bigint, token bigint")
+
+
 def links(docs: DataFrame, sets: DataFrame, words: int, percent: int, matches: int, long_list: int = LONG_LIST) -> DataFrame:
     """Pairs (a, b) of keys that connect what all similar pairs do. ``sets``: (key, size, signature, doc_id, _hash)."""
-    prefix = stored(prefixes(sets, matches), "prefixes")
-    posted = prefix.select("key", "size", F.explode(F.slice("_tokens", F.lit(1), F.col("_base"))).alias("token"))
-    lists = posted.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("key", "size")).alias("head")).filter("members > 1")
-    shared = stored(posted.join(lists, "token").select("token", "members", "head", "key", "size"), "postings")
-
-    star = shared.filter((F.col("key") != F.col("head.key")) & alike(F.col("size"), F.col("head.size"), percent))
-    tried = stored(star.select(F.col("head.key").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
+    prefix = rarest(coordinates(sets), F.lit(matches - 1))
+    posted = stored(prefix.select("key", "size", "weight", F.explode("_tokens").alias("token")), "prefixes")
+    lists = posted.groupBy("token").agg(F.count("*").alias("members"), F.max(F.struct("weight", "key", "size")).alias("head")).filter("members > 1")
+    lists = stored(lists.select("token", "members", F.col("head.key").alias("_h"), F.col("head.size").alias("_hs")), "lists")
+    shared = stored(posted.join(lists, "token").select("token", "members", "_h", "_hs", "key", "size"), "postings")
+
+    star = shared.filter((F.col("key") != F.col("_h")) & alike(F.col("size"), F.col("_hs"), percent))
+    tried = stored(star.select(F.least("_h", "key").alias("a"), F.greatest("_h", "key").alias("b")).distinct(), "pairs")
     met = stored(colliding(tried, sets, matches), "met")
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    first_sets = stored(whole_sets(docs, sets.join(ends(met), "key"), words), "sets")
-    first = stored(verified(met, first_sets, percent), "links")
+    held = stored(whole_sets(docs, sets.join(ends(met), "key"), words), "sets")
+    first = stored(verified(met, held, percent), "links")
 
+    # members connected with the head of a list need not meet each other; lists of connected members only are done
     group = components(first).select(F.col("node").alias("key"), F.col("component").alias("_g"))
-    named = shared.filter("members > 2").join(group, "key", "left").withColumn("_g", F.coalesce("_g", "key"))
-    heads = group.select(F.col("key").alias("_h"), F.col("_g").alias("_hg"))
-    named = named.withColumn("_h", F.col("head.key")).join(heads, "_h", "left").withColumn("_apart", F.col("_g") != F.coalesce("_hg", "_h"))
-    named = stored(named.select("token", "members", "key", "size", "_g", "_h", "_apart"), "members")
-    # lists all of whose members are connected are done
-    open_lists = named.filter("_apart").select("token").distinct()
-    named = named.join(open_lists, "token", "left_semi")
+    heads = lists.filter("members > 2").join(group.withColumnRenamed("key", "_h"), "_h", "left").select("token", F.coalesce("_g", "_h").alias("_hg"))
+    named = shared.join(heads, "token").join(group, "key", "left").withColumn("_g", F.coalesce("_g", "key"))
+    named = stored(named.select("token", "members", "key", "size", "_g", (F.col("_g") != F.col("_hg")).alias("_apart")), "members")
+    named = named.join(named.filter("_apart").select("token").distinct(), "token", "left_semi")
+
+    def met_in(cells: DataFrame) -> DataFrame:
+        """Pairs (a, b), each once, of one cell but not of one group, one of them apart from its list's head."""
+        loose = cells.filter("_apart").select("cell", F.col("key").alias("_k"), F.col("size").alias("_s"), F.col("_g").alias("_o"))
+        pairs = loose.join(cells, "cell").filter("_g <> _o").filter(alike(F.col("size"), F.col("_s"), percent))
+        return pairs.select(F.least("key", "_k").alias("a"), F.greatest("key", "_k").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+
     short = named.filter(F.col("members") <= long_list).select(F.col("token").alias("cell"), "key", "size", "_g", "_apart")
-    second = F.explode(F.array_remove(F.col("_tokens"), F.col("token"))).alias("_u")
-    long = named.filter(F.col("members") > long_list).join(prefix.select("key", "_tokens"), "key").select("token", second, "key", "size", "_g", "_apart")
-    long = long.select(F.xxhash64("token", "_u").alias("cell"), "key", "size", "_g", "_apart")
-    cells = short.union(long)
-    busy = stored(cells.groupBy("cell").agg(F.max("_apart").alias("_open"), F.countDistinct("_g").alias("_groups")).filter("_open and _groups > 1").select("cell"), "cells")
-    cells = stored(cells.join(busy, "cell", "left_semi"), "busy")
-    loose = cells.filter("_apart").select("cell", F.col("key").alias("_k"), F.col("size").alias("_s"), F.col("_g").alias("_o"))
-    pairs = loose.join(cells.select("cell", "key", "size", "_g"), "cell").filter("_g <> _o").filter(alike(F.col("size"), F.col("_s"), percent))
-    pairs = pairs.select(F.least("key", "_k").alias("a"), F.greatest("key", "_k").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    rest = stored(colliding(stored(pairs, "pairs"), sets, matches), "met")
-    more = ends(rest).join(first_sets.select("key"), "key", "left_anti")
-    all_sets = first_sets.union(stored(whole_sets(docs, sets.join(more, "key"), words), "sets"))
-    return stored(first.union(verified(rest, all_sets, percent)), "links")
+    rest = stored(colliding(met_in(short), sets, matches), "met")
+    crowd = named.filter(F.col("members") > long_list).groupBy("key").agg(F.max("_apart").alias("_apart"), F.min("_g").alias("_g"))
+    crowd = stored(crowd, "crowd")
+    more = ends(rest).union(crowd.select("key")).distinct().join(held.select("key"), "key", "left_anti")
+    held = held.union(stored(whole_sets(docs, sets.join(more, "key"), words), "sets"))
+    # sets of this similarity share one of their rarest shingles: all but the last ceil(similarity * size) - 1
+    rare = rarest(each_shingle(held.join(crowd.select("key"), "key", "left_semi")), F.ceil(F.col("size") * percent / 100 - 1e-9) - 1)
+    rare = rare.select("key", "size", F.explode("_tokens").alias("cell")).join(crowd, "key")
+    pairs = rest.union(met_in(stored(rare, "rare"))).distinct()
+    return stored(first.union(verified(pairs, held, percent)), "links")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, miss: float = 1e-6, long_list: int = LONG_LIST) -> DataFrame:
