@@ -10,10 +10,10 @@ is so low that a pair at the asked similarity misses it with a probability below
 * Skip: the m - 1 most frequent lists of a set, where the crowds are, are never merged. Their collisions are counted by
   probing the two signatures of a pair that has met.
 
-A posting list is not merged pair by pair. Its members first meet the one of them whose lists are the longest, the centre
-of a family of copies; those that are connected with it need not meet each other, and only the others meet the list. In
-long lists these meet where they share one of their rarest shingles, as similar sets must: copies that differ from the
-centre each in its own way have many shingles of their own, and no pair of them is formed.
+A posting list is not merged pair by pair. Each set first meets the one that heads most of its lists, the centre of a
+family of copies. Sets that are connected by then need not meet each other, and only the others meet their lists. In long
+lists these meet where they share one of their rarest shingles with enough of both left behind it, as similar sets must:
+copies that differ from the centre each in its own way have many shingles of their own, and no pair of them is formed.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from casefile.llm.common import components, stored
 from casefile.llm.jaccard import shingle_set
 
 COORDINATES = 48
-LONG_LIST = 32
+LONG_LIST = 8
 """Members of a posting list above which those still apart meet by their rarest shingles."""
 BLOCK, CHUNK = 1 << 10, 1 << 16
 
@@ -80,16 +80,22 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "_hash", "text").mapInArrow(run, schema)
 
 
-def rarest(posted: DataFrame, skip: Column) -> DataFrame:
-    """Rows (key, size, weight, _tokens): the rarest of the tokens each key shares with others, less its last ``skip`` ones.
+def shared_tokens(posted: DataFrame) -> DataFrame:
+    """Rows (key, size, token, n): the tokens of ``posted`` (key, size, token) that ``n`` keys have, two at least."""
+    return posted.join(posted.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "token").select("key", "size", "token", "n")
 
-    ``posted`` has (key, size, token). Tokens are ordered from rare to frequent. Those of one key come first but meet
-    nothing, so they are left out; ``weight`` adds up the frequencies of the others.
+
+def rarest(shared: DataFrame, total: Column, skip: Column) -> DataFrame:
+    """Rows (key, size, weight, token, place): of each key's tokens, from rare to frequent, those shared and not among the last ``skip``.
+
+    Of its ``total`` tokens those of one key come first but meet nothing; ``place`` counts them, ``weight`` adds up the
+    frequencies of the others.
     """
-    shared = posted.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    kept = posted.join(shared, "token").groupBy("key", "size").agg(F.sum("n").alias("weight"), F.sort_array(F.collect_list(F.struct("n", "token"))).alias("_t"))  # a set at most
-    kept = kept.withColumn("_left", F.size("_t") - skip).filter("_left > 0")
-    return kept.select("key", "size", "weight", F.transform(F.slice("_t", F.lit(1), F.greatest("_left", F.lit(0)).cast("int")), lambda x: x["token"]).alias("_tokens"))
+    kept = shared.groupBy("key", "size").agg(F.sum("n").alias("weight"), F.sort_array(F.collect_list(F.struct("n", "token"))).alias("_t"))  # a set at most
+    own = (total - F.size("_t")).alias("_own")
+    kept = kept.select("key", "size", "weight", own, F.slice("_t", F.lit(1), F.greatest(F.size("_t") - skip, F.lit(0)).cast("int")).alias("_t"))
+    kept = kept.select("key", "size", "weight", "_own", F.posexplode("_t").alias("_at", "_x"))
+    return kept.select("key", "size", "weight", F.col("_x.token").alias("token"), (F.col("_own") + F.col("_at")).alias("place"))
 
 
 def coordinates(sets: DataFrame) -> DataFrame:
@@ -153,44 +159,54 @@ def each_shingle(shingles: DataFrame) -> DataFrame:
     return shingles.select("key", "shingles").mapInArrow(run, "key bigint, size bigint, token bigint")
 
 
+def star(shared: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): each key with the one that heads most of its lists. A list's head is its member of the greatest weight."""
+    weighted = shared.join(prefix.select("key", "weight").distinct(), "key")
+    heads = weighted.groupBy("token").agg(F.max(F.struct("weight", "key", "size")).alias("head"))
+    votes = weighted.join(heads, "token").filter((F.col("key") != F.col("head.key")) & alike(F.col("size"), F.col("head.size"), percent))
+    votes = votes.groupBy("key", F.col("head.key").alias("_h")).agg(F.count("*").alias("n"))
+    best = votes.groupBy("key").agg(F.max(F.struct("n", "_h")).alias("c"))
+    return best.select(F.least("key", "c._h").alias("a"), F.greatest("key", "c._h").alias("b")).distinct()
+
+
 def links(docs: DataFrame, sets: DataFrame, words: int, percent: int, matches: int, long_list: int = LONG_LIST) -> DataFrame:
     """Pairs (a, b) of keys that connect what all similar pairs do. ``sets``: (key, size, signature, doc_id, _hash)."""
-    prefix = rarest(coordinates(sets), F.lit(matches - 1))
-    posted = stored(prefix.select("key", "size", "weight", F.explode("_tokens").alias("token")), "prefixes")
-    lists = posted.groupBy("token").agg(F.count("*").alias("members"), F.max(F.struct("weight", "key", "size")).alias("head")).filter("members > 1")
-    lists = stored(lists.select("token", "members", F.col("head.key").alias("_h"), F.col("head.size").alias("_hs")), "lists")
-    shared = stored(posted.join(lists, "token").select("token", "members", "_h", "_hs", "key", "size"), "postings")
-
-    star = shared.filter((F.col("key") != F.col("_h")) & alike(F.col("size"), F.col("_hs"), percent))
-    tried = stored(star.select(F.least("_h", "key").alias("a"), F.greatest("_h", "key").alias("b")).distinct(), "pairs")
+    shared = stored(shared_tokens(coordinates(sets)), "postings")
+    prefix = stored(rarest(shared, F.lit(COORDINATES), F.lit(matches - 1)).drop("place"), "prefixes")
+
+    tried = stored(star(shared, prefix, percent), "pairs")
     met = stored(colliding(tried, sets, matches), "met")
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     held = stored(whole_sets(docs, sets.join(ends(met), "key"), words), "sets")
     first = stored(verified(met, held, percent), "links")
 
-    # members connected with the head of a list need not meet each other; lists of connected members only are done
+    # of a list, members of its largest group need not meet each other; lists of one group are done
     group = components(first).select(F.col("node").alias("key"), F.col("component").alias("_g"))
-    heads = lists.filter("members > 2").join(group.withColumnRenamed("key", "_h"), "_h", "left").select("token", F.coalesce("_g", "_h").alias("_hg"))
-    named = shared.join(heads, "token").join(group, "key", "left").withColumn("_g", F.coalesce("_g", "key"))
-    named = stored(named.select("token", "members", "key", "size", "_g", (F.col("_g") != F.col("_hg")).alias("_apart")), "members")
-    named = named.join(named.filter("_apart").select("token").distinct(), "token", "left_semi")
-
-    def met_in(cells: DataFrame) -> DataFrame:
-        """Pairs (a, b), each once, of one cell but not of one group, one of them apart from its list's head."""
-        loose = cells.filter("_apart").select("cell", F.col("key").alias("_k"), F.col("size").alias("_s"), F.col("_g").alias("_o"))
-        pairs = loose.join(cells, "cell").filter("_g <> _o").filter(alike(F.col("size"), F.col("_s"), percent))
-        return pairs.select(F.least("key", "_k").alias("a"), F.greatest("key", "_k").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-
-    short = named.filter(F.col("members") <= long_list).select(F.col("token").alias("cell"), "key", "size", "_g", "_apart")
-    rest = stored(colliding(met_in(short), sets, matches), "met")
+    named = stored(prefix.join(group, "key", "left").select("token", "key", "size", F.coalesce("_g", "key").alias("_g")), "named")
+    groups = named.groupBy("token", "_g").agg(F.count("*").alias("n")).groupBy("token")
+    lists = groups.agg(F.sum("n").alias("members"), F.count("*").alias("groups"), F.max(F.struct("n", "_g")).alias("m")).filter("groups > 1")
+    named = named.join(lists.select("token", "members", F.col("m._g").alias("_most")), "token")
+    named = stored(named.select("token", "members", "key", "size", "_g", (F.col("_g") != F.col("_most")).alias("_apart")), "members")
+
+    def met_in(cells: DataFrame, near: Column) -> DataFrame:
+        """Pairs (a, b), each once, of one cell but not of one group, one of them apart; ``near`` compares them by size and place."""
+        loose = cells.filter("_apart").select("cell", *[F.col(c).alias(f"{c}2") for c in ("key", "size", "place", "_g")])
+        pairs = loose.join(cells, "cell").filter("_g <> _g2").filter(near)
+        return pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+
+    short = named.filter(F.col("members") <= long_list).select(F.col("token").alias("cell"), "key", "size", F.lit(0).alias("place"), "_g", "_apart")
+    rest = stored(colliding(met_in(short, alike(F.col("size"), F.col("size2"), percent)), sets, matches), "met")
     crowd = named.filter(F.col("members") > long_list).groupBy("key").agg(F.max("_apart").alias("_apart"), F.min("_g").alias("_g"))
     crowd = stored(crowd, "crowd")
     more = ends(rest).union(crowd.select("key")).distinct().join(held.select("key"), "key", "left_anti")
     held = held.union(stored(whole_sets(docs, sets.join(more, "key"), words), "sets"))
-    # sets of this similarity share one of their rarest shingles: all but the last ceil(similarity * size) - 1
-    rare = rarest(each_shingle(held.join(crowd.select("key"), "key", "left_semi")), F.ceil(F.col("size") * percent / 100 - 1e-9) - 1)
-    rare = rare.select("key", "size", F.explode("_tokens").alias("cell")).join(crowd, "key")
-    pairs = rest.union(met_in(stored(rare, "rare"))).distinct()
+    # similar sets share one of their rarest shingles, all but the last ceil(similarity * size) - 1; behind the first that
+    # they share there must be enough of both left
+    each = shared_tokens(each_shingle(held.join(crowd.select("key"), "key", "left_semi")))
+    rare = rarest(each, F.col("size"), F.ceil(F.col("size") * percent / 100 - 1e-9) - 1)
+    rare = stored(rare.select("key", "size", "place", F.col("token").alias("cell")).join(crowd, "key"), "rare")
+    left = F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2"))
+    pairs = rest.union(met_in(rare, left * (100 + percent) >= (F.col("size") + F.col("size2")) * percent)).distinct()
     return stored(first.union(verified(pairs, held, percent)), "links")
 
 
