@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from casefile.functions import text as T
 from casefile.functions.ordered import CHUNK, chunk_of, cluster_sorted, number_rows, running_sum
+from casefile.functions.scan import FAN, STEPS, entries, shortened
 from casefile.session import cut_lineage
 
 A4_WIDTH, A4_HEIGHT = 595.28, 841.89
@@ -49,59 +50,41 @@ def _transfer(frame: pd.DataFrame, capacity: float) -> pd.DataFrame:
             rows[-1] = (upto, *rows[-1][1:])
         else:
             rows.append((upto, int(count[j]), float(final[j]), False))
-    return pd.DataFrame(
-        [{"upto": [r[0] for r in rows], "opened": [r[1] for r in rows], "fill": [r[2] for r in rows],
-          "whole_count": int(count[0]), "whole_fill": float(final[0])}]
-    )
+    short = shortened([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
+    return pd.DataFrame([{**short, "whole_count": int(count[0]), "whole_fill": float(final[0])}])
 
 
 def next_fit(
-    items: DataFrame, keys: list[str], position: str, opening: str, added: str, capacity: float, size: int = CHUNK
+    items: DataFrame, keys: list[str], position: str, opening: str, added: str, capacity: float | str, size: int = CHUNK, fan: int = FAN
 ) -> DataFrame:
     """Next-fit packing in order: adds ``container`` (1-based) and ``used`` (fill before the row).
 
     ``opening`` is a row's weight as the first of a container, ``added`` its weight after
-    another row; an item is never split. ``position`` is dense per key. Long key groups are
-    packed chunk by chunk in parallel: a first pass condenses every chunk to the step
-    function "fill on entry -> containers opened, fill at the end", these are composed per
-    key, and a last pass packs every chunk from its known entry. The step functions are
-    short because packings from different entries soon coincide.
+    another row; an item is never split. ``position`` is dense per key. ``capacity`` is a
+    number, or a column with one value per key. Long key groups are packed chunk by chunk in
+    parallel: a first pass condenses every chunk to the step function "fill on entry ->
+    containers opened, fill at the end", a scan over these (``scan.entries``) tells the entry
+    of every chunk, and a last pass packs every chunk from it. A step function has no more
+    pieces than the first container of its chunk has items.
     """
-    data = items.withColumn("_chunk", chunk_of(position, size))
+    data = items.withColumn("_chunk", chunk_of(position, size)).withColumn("_capacity", F.col(capacity).cast("double") if isinstance(capacity, str) else F.lit(float(capacity)))
     types = dict(data.dtypes)
     key_types = ", ".join(f"{k} {types[k]}" for k in keys)
     group = [*keys, "_chunk"]
     long_keys = data.filter("_chunk > 0").select(*keys).distinct()
-    slim = data.select(*group, F.col(position).alias("at"), F.col(opening).cast("double").alias("opening"), F.col(added).cast("double").alias("added"))
+    slim = data.select(*group, "_capacity", F.col(position).alias("at"), F.col(opening).cast("double").alias("opening"), F.col(added).cast("double").alias("added"))
 
     def condense(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        out = _transfer(frame.sort_values("at"), capacity)
+        out = _transfer(frame.sort_values("at"), float(frame["_capacity"].iloc[0]))
         for place, name in enumerate(group):
             out.insert(place, name, key[place])
         return out
 
-    steps_type = "upto array<double>, opened array<long>, fill array<double>, whole_count long, whole_fill double"
-    steps = slim.join(long_keys, keys, "left_semi").groupBy(*group).applyInPandas(condense, f"{key_types}, _chunk long, {steps_type}")
-
-    renamed = steps.withColumnRenamed("_chunk", "chunk_no")
-
-    def compose(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        fill, before, out = None, 0, []
-        for row in frame.sort_values("chunk_no").itertuples(index=False):
-            out.append((*key, row.chunk_no, fill, before))
-            if fill is None:
-                fill, before = row.whole_fill, before + row.whole_count
-                continue
-            step = min(int(np.searchsorted(np.asarray(row.upto), fill, side="left")), len(row.upto) - 1)
-            before += int(row.opened[step])
-            fill = fill + row.fill[0] if step == 0 else float(row.fill[step])
-        return pd.DataFrame(out, columns=[*keys, "_chunk", "entered", "before"])
-
-    entries = renamed.groupBy(*keys).applyInPandas(compose, f"{key_types}, _chunk long, entered double, before long")
-    known = data.join(entries, group, "left").withColumn("before", F.coalesce("before", F.lit(0)))
+    steps = slim.join(long_keys, keys, "left_semi").groupBy(*group).applyInPandas(condense, f"{key_types}, _chunk long, {STEPS}")
+    known = data.join(entries(steps, keys, "_chunk", fan), group, "left").withColumn("before", F.coalesce("before", F.lit(0)))
     known = known.withColumn("opening__", F.col(opening).cast("double")).withColumn("added__", F.col(added).cast("double"))
-    packed_type = ", ".join(f"`{c}` {t}" for c, t in data.dtypes if c != "_chunk") + ", container long, used double"
-    columns = [c for c in data.columns if c != "_chunk"]
+    packed_type = ", ".join(f"`{c}` {t}" for c, t in data.dtypes if c not in ("_chunk", "_capacity")) + ", container long, used double"
+    columns = [c for c in data.columns if c not in ("_chunk", "_capacity")]
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # rows arrive sorted by (keys, chunk, position); only the open container is remembered
@@ -109,12 +92,12 @@ def next_fit(
         for frame in batches:
             numbers, fills = [], []
             names = zip(*[frame[g].tolist() for g in group])
-            for name, first, later, entered, before in zip(
-                names, frame["opening__"].tolist(), frame["added__"].tolist(), frame["entered"].tolist(), frame["before"].tolist()
+            for name, first, later, entered, before, most in zip(
+                names, frame["opening__"].tolist(), frame["added__"].tolist(), frame["entered"].tolist(), frame["before"].tolist(), frame["_capacity"].tolist()
             ):
                 if name != current:
                     current, number, fill = name, int(before), None if entered != entered or entered is None else entered
-                if fill is None or fill + later > capacity + 1e-9:
+                if fill is None or fill + later > most + 1e-9:
                     number, used, fill = number + 1, 0.0, first
                 else:
                     used, fill = fill, fill + later
@@ -141,27 +124,29 @@ def plan_volumes(items: DataFrame, keys: list[str], limit: int, position: str =
 
 
 def build_plan(
-    items: DataFrame, keys: list[str], page_limit: int = 0, cover_pages: int = 1, index_pages: int = 1,
+    items: DataFrame, keys: list[str], page_limit: int = 0, cover_pages: int = 1, index_pages: int | str = 1,
     count_optional: bool = False, match_pdf_order: bool = False, continuous: bool = True, start_at: int = 1,
 ) -> DataFrame:
     """Physical and reference pages of every exhibit.
 
     ``items``: keys, position (dense), item_id, physical_pages, optional_pages, content_pages.
     Cover and complete index are repeated in each volume and count towards the limit.
+    ``index_pages`` is a number, or a column of ``items`` with one value per key.
     """
-    overhead = max(1, cover_pages) + index_pages
-    rows = items
+    varying = isinstance(index_pages, str)
+    rows = items.withColumn("_overhead", F.lit(max(1, cover_pages)) + (F.col(index_pages) if varying else F.lit(index_pages)))
     if page_limit > 0:
-        rows = next_fit(rows, keys, "position", "physical_pages", "physical_pages", page_limit - overhead)
-        rows = rows.withColumnRenamed("container", "volume").drop("used")
+        room = F.lit(page_limit) - F.col("_overhead")
+        rows = next_fit(rows.withColumn("_room", room), keys, "position", "physical_pages", "physical_pages", "_room")
+        rows = rows.withColumnRenamed("container", "volume").drop("used", "_room")
     else:
         rows = rows.withColumn("volume", F.lit(1).cast("long"))
     counted = F.when(F.lit(count_optional), F.col("optional_pages")).otherwise(0)
     rows = cut_lineage(rows.withColumn("_reference", F.col("content_pages") + counted).withColumn("_chunk", chunk_of("position")))
     volumes = rows.groupBy(*keys, "volume").agg(
-        F.sum("physical_pages").alias("exhibit_pages"), F.sum("_reference").alias("reference_pages")
+        F.sum("physical_pages").alias("exhibit_pages"), F.sum("_reference").alias("reference_pages"), F.max("_overhead").alias("_before_exhibits")
     )
-    volumes = volumes.withColumn("total_pages", F.col("exhibit_pages") + overhead).withColumn("_vc", chunk_of("volume"))
+    volumes = volumes.withColumn("total_pages", F.col("exhibit_pages") + F.col("_before_exhibits")).withColumn("_vc", chunk_of("volume"))
     volumes = running_sum(volumes, keys, ["volume"], "total_pages", "_pdf_before", ["_vc"], exclusive=True)
     volumes = running_sum(volumes, keys, ["volume"], "reference_pages", "_ref_before", ["_vc"], exclusive=True).drop("_vc")
     volumes = volumes.withColumn("oversize", (F.lit(page_limit) > 0) & (F.col("total_pages") > page_limit))
@@ -169,7 +154,7 @@ def build_plan(
     rows = running_sum(rows, own, ["position"], "physical_pages", "_earlier", ["_chunk"], exclusive=True)
     rows = running_sum(rows, own, ["position"], "_reference", "_ref_earlier", ["_chunk"], exclusive=True)
     rows = rows.join(volumes, own)
-    start = F.lit(overhead + 1) + F.col("_earlier")
+    start = F.col("_before_exhibits") + 1 + F.col("_earlier")
     content_start = start + F.col("optional_pages")
     if match_pdf_order:
         legal = content_start + (F.col("_pdf_before") if continuous else F.lit(0))
@@ -184,6 +169,58 @@ def build_plan(
     )
 
 
+PASSES = 16
+NOT_STABLE = "Index and volume planning did not converge to a stable page count."
+TOO_MANY_PASSES = "Index and volume planning exceeded the 16-pass convergence safety limit."
+
+
+def converged_plan(
+    items: DataFrame, nodes: DataFrame, details: DataFrame, keys: list[str], height: Column, page_height: float,
+    page_limit: int, row_gap: float = 0.0, break_gap: float = 0.0, passes: int = PASSES, **options: object,
+) -> tuple[DataFrame, DataFrame]:
+    """Volumes and index planned until they agree. Returns (plan rows with ``index_pages`` and ``passes``, problems).
+
+    The index is repeated in every volume, so its pages decide what a volume holds; the volumes decide the page labels,
+    and these how high the rows of the index are. ``items`` as for ``build_plan``, ``nodes`` the arrangement, ``details``
+    (keys, item_id, exhibit_number, description, date_text) what the index tells of an exhibit, ``height`` an expression
+    over its rows (kind, title, page_label, ...). ``options`` go to ``build_plan``.
+
+    A pass plans, lays out and counts; it carries only the matters that have not settled. A matter whose page count comes
+    back to one it has had before goes round in a circle and is a problem, as is one still open after ``passes``, and one
+    whose index has a row that fits no page.
+    """
+    from casefile.operators.arrangement import index_rows
+
+    open_ = cut_lineage(items.select(*keys).distinct().select(*keys, F.lit(1).cast("long").alias("index_pages"), F.array(F.lit(1).cast("long")).alias("_seen")))
+    settled, problems = [], []
+    for number in range(1, passes + 1):
+        rows = items.join(open_.select(*keys, "index_pages"), keys)
+        plan = cut_lineage(build_plan(rows, keys, page_limit, index_pages="index_pages", **options))
+        several = plan.groupBy(*keys).agg((F.max("volume") > 1).alias("multi_volume"))
+        records = plan.join(several, keys).join(details, [*keys, "item_id"]).select(
+            *keys, F.col("item_id").alias("exhibit_id"), "exhibit_number", "description", "date_text",
+            F.col("legal_start").cast("string").alias("label_start"), F.col("legal_end").cast("string").alias("label_end"), "volume", "multi_volume",
+        )
+        index = index_rows(nodes.join(open_.select(*keys), keys, "left_semi"), records, keys).withColumn("height", height)
+        index = index.withColumn("_chunk", chunk_of("row_order"))
+        index = cut_lineage(number_rows(index, keys, ["row_order"], "position", ["_chunk"]))
+        placed, errors = paginate_rows(index.select(*keys, "position", "row_id", "kind", "group_break", "height"), keys, page_height, row_gap, break_gap)
+        bad = cut_lineage(errors.groupBy(*keys).agg(F.min("problem").alias("problem")))
+        counts = placed.groupBy(*keys).agg(F.max("page").alias("_pages"))
+        state = cut_lineage(open_.join(bad, keys, "left").join(counts, keys, "left").withColumn("_pages", F.coalesce("_pages", F.lit(1))))
+        done = state.filter("problem IS NULL AND _pages = index_pages")
+        settled.append(plan.join(done.select(*keys, "index_pages"), keys).withColumn("passes", F.lit(number)))
+        again = state.filter("problem IS NULL AND _pages <> index_pages")
+        round_ = F.array_contains("_seen", F.col("_pages"))
+        problems += [state.filter("problem IS NOT NULL").select(*keys, "problem"), again.filter(round_).select(*keys, F.lit(NOT_STABLE).alias("problem"))]
+        open_ = cut_lineage(again.filter(~round_).select(*keys, F.col("_pages").alias("index_pages"), F.concat("_seen", F.array("_pages")).alias("_seen")))
+        if open_.isEmpty():
+            break
+    problems.append(open_.select(*keys, F.lit(TOO_MANY_PASSES).alias("problem")))
+    union = lambda parts: parts[0] if len(parts) == 1 else union(parts[:-1]).unionByName(parts[-1])
+    return union(settled), union(problems)
+
+
 def bundle_identity(items: DataFrame, keys: list[str]) -> DataFrame:
     mark = F.concat(F.upper(F.regexp_replace("initials", r"\s+", "")), F.lit(" "), F.col("sequence").cast("string"))
     agg = items.groupBy(*keys).agg(F.min(mark).alias("low"), F.max(mark).alias("high"))

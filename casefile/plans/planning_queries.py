@@ -294,6 +294,68 @@ def build_plan_pdf_order(spark: SparkSession, folder: str) -> DataFrame:
     return planning.build_plan(_plan_items(spark, folder), KEYS, page_limit=30, match_pdf_order=True)
 
 
+LABEL_WIDTH, LINE, INDEX_PAGE, MOST_PAGES = 12, 60.0, 300.0, 20
+"""Characters of a page label in a line, height of a line, height of an index page; index pages the SQL tries."""
+
+CONVERGED_STEPS = [
+    # what every matter would be planned to with 1, 2, ... index pages
+    ("tries", f"SELECT matter_id, unnest(range(1, {MOST_PAGES} + 1)) AS k FROM (SELECT DISTINCT matter_id FROM v_candidates) z"),
+    ("fit", (
+        "SELECT matter_id, k, 0::BIGINT AS n, NULL::VARCHAR AS item_id, 0::BIGINT AS volume, 0::BIGINT AS used FROM tries UNION ALL "
+        "SELECT c.matter_id, f.k, c.seq, c.candidate_id, CASE WHEN f.n = 0 OR f.used + pp > 29 - f.k THEN f.volume + 1 ELSE f.volume END, CASE WHEN f.n = 0 OR f.used + pp > 29 - f.k THEN pp ELSE f.used + pp END "
+        "FROM fit f JOIN (SELECT *, content_pages + optional_pages AS pp FROM v_candidates) c ON c.matter_id = f.matter_id AND c.seq = f.n + 1")),
+    ("vol", "SELECT f.matter_id, f.k, f.n AS position, f.item_id, f.volume, c.content_pages AS cp, c.optional_pages AS op, c.content_pages + c.optional_pages AS pp FROM fit f JOIN v_candidates c ON c.matter_id = f.matter_id AND c.candidate_id = f.item_id"),
+    ("tot", "SELECT matter_id, k, volume, sum(pp) + 1 + k AS total_pages, sum(cp + op) AS ref_pages FROM vol GROUP BY matter_id, k, volume"),
+    ("off", "SELECT *, max(volume) OVER (PARTITION BY matter_id, k) > 1 AS several, coalesce(sum(ref_pages) OVER (PARTITION BY matter_id, k ORDER BY volume ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ref_before FROM tot"),
+    ("run", "SELECT v.*, total_pages, several, ref_before, coalesce(sum(pp) OVER w, 0) AS earlier, coalesce(sum(cp + op) OVER w, 0) AS ref_earlier FROM vol v JOIN off USING (matter_id, k, volume) WINDOW w AS (PARTITION BY matter_id, k, volume ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"),
+    ("plans", "SELECT matter_id, k, item_id, position, volume, several, 2 + k + earlier AS physical_start, 5 + ref_earlier + op AS legal_start, 5 + ref_earlier + op + cp - 1 AS legal_end, total_pages FROM run"),
+    ("flat", "SELECT *, row_number() OVER (PARTITION BY matter_id ORDER BY pos, inner_pos) AS place FROM v_nodes"),
+    ("nb", "SELECT *, lag(section_id) OVER (PARTITION BY matter_id ORDER BY place) AS ps FROM flat"),
+    ("lab", (
+        "SELECT f.matter_id, k, place * 2 AS row_order, 'exhibit' AS kind, f.section_id IS NULL AND ps IS NOT NULL AS gb, "
+        "concat(CASE WHEN several THEN concat('Vol. ', volume, ' / ') ELSE '' END, legal_start, CASE WHEN legal_end > legal_start THEN concat('-', legal_end) ELSE '' END) AS label FROM nb f JOIN plans p ON p.matter_id = f.matter_id AND p.item_id = f.exhibit_id "
+        "UNION ALL SELECT f.matter_id, k, place * 2 - 1, 'section', false, NULL FROM nb f JOIN tries USING (matter_id) WHERE inner_pos = 1")),
+    ("hgt", f"SELECT matter_id, k, row_number() OVER (PARTITION BY matter_id, k ORDER BY row_order) AS n, kind, gb, CASE WHEN kind = 'section' THEN {LINE} ELSE {LINE} * ceil(length(label) / {LABEL_WIDTH}.0) END::DOUBLE AS h FROM lab"),
+    ("mm", "SELECT *, lead(kind) OVER w AS nk, lead(h) OVER w AS nh, lead(gb) OVER w AS ngb FROM hgt WINDOW w AS (PARTITION BY matter_id, k ORDER BY n)"),
+    ("walk", (
+        "SELECT matter_id, k, 0::BIGINT AS n, 1::BIGINT AS page, 0.0::DOUBLE AS used FROM tries UNION ALL "
+        "SELECT matter_id, k, n, CASE WHEN brk THEN page + 1 ELSE page END, CASE WHEN brk OR used = 0 THEN h ELSE used + gap + h END FROM ("
+        "SELECT t.matter_id, t.k, t.n, w.page, w.used, t.h, 2.0 + CASE WHEN t.kind = 'exhibit' AND t.gb THEN 12.0 ELSE 0 END AS gap, "
+        "w.used > 0 AND w.used + 2.0 + CASE WHEN t.kind = 'exhibit' AND t.gb THEN 12.0 ELSE 0 END + CASE WHEN t.kind = 'section' AND t.nk = 'exhibit' THEN t.h + 2.0 + CASE WHEN t.ngb THEN 12.0 ELSE 0 END + t.nh ELSE t.h END > " + str(INDEX_PAGE) + " AS brk "
+        "FROM walk w JOIN mm t ON t.matter_id = w.matter_id AND t.k = w.k AND t.n = w.n + 1) q")),
+    ("pages", "SELECT matter_id, k, max(page) AS pages FROM walk GROUP BY ALL"),
+    ("steps", (
+        "SELECT matter_id, 1::BIGINT AS pass, k, pages, [k] AS seen FROM pages WHERE k = 1 UNION ALL "
+        "SELECT s.matter_id, s.pass + 1, p.k, p.pages, list_append(s.seen, p.k) FROM steps s JOIN pages p ON p.matter_id = s.matter_id AND p.k = s.pages WHERE s.pages <> s.k AND NOT list_contains(s.seen, s.pages) AND s.pass < 16")),
+]
+
+
+def _converged(spark: SparkSession, folder: str) -> tuple:
+    details = candidates(spark, folder).select("matter_id", F.col("candidate_id").alias("item_id"), F.col("seq").alias("exhibit_number"), "description", "date_text")
+    height = F.when(F.col("kind") == "section", LINE).otherwise(F.ceil(F.length("page_label") / LABEL_WIDTH) * LINE)
+    return planning.converged_plan(
+        cut_lineage(_plan_items(spark, folder)), nodes(spark, folder), details, KEYS, height, INDEX_PAGE, 30, 2.0, 12.0, count_optional=True, start_at=5, continuous=False
+    )
+
+
+PLANNED = ["matter_id", "item_id", "position", "volume", "physical_start", "legal_start", "legal_end", "total_pages", "index_pages", "passes"]
+
+
+@query(
+    sql=with_views(
+        [*_NODES, "v_candidates"], *CONVERGED_STEPS,
+        select=(
+            "SELECT p.matter_id, item_id, position, volume, physical_start, legal_start, legal_end, total_pages, k AS index_pages, pass AS passes, NULL AS problem FROM plans p JOIN steps s USING (matter_id, k) WHERE s.pages = s.k "
+            "UNION ALL SELECT matter_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN list_contains(seen, pages) THEN '" + planning.NOT_STABLE + "' ELSE '" + planning.TOO_MANY_PASSES + "' END FROM steps WHERE pages <> k AND (list_contains(seen, pages) OR pass = 16)"
+        ),
+        recursive=True,
+    )
+)
+def converged_plan(spark: SparkSession, folder: str) -> DataFrame:
+    plan, problems = _converged(spark, folder)
+    return plan.select(*PLANNED, F.lit(None).cast("string").alias("problem")).unionByName(problems, allowMissingColumns=True)
+
+
 @query(
     sql=with_views(
         ["v_candidates"],
