@@ -294,7 +294,7 @@ def build_plan_pdf_order(spark: SparkSession, folder: str) -> DataFrame:
     return planning.build_plan(_plan_items(spark, folder), KEYS, page_limit=30, match_pdf_order=True)
 
 
-LABEL_WIDTH, LINE, INDEX_PAGE, MOST_PAGES = 12, 60.0, 300.0, 20
+LABEL_WIDTH, LINE, INDEX_PAGE, MOST_PAGES = 7, 34.0, 400.0, 12
 """Characters of a page label in a line, height of a line, height of an index page; index pages the SQL tries."""
 
 CONVERGED_STEPS = [
