@@ -9,7 +9,8 @@ from casefile.functions.ordered import chunk_of, number_rows
 from casefile.operators.planning import next_fit
 from casefile.session import cut_lineage
 
-ROW_BUCKET = 64
+LEVELS = 20
+"""Aligned intervals have up to 2 ** 20 rows, as many as a sheet."""
 
 
 def used_range(cells: DataFrame, sheets: DataFrame) -> DataFrame:
@@ -21,24 +22,52 @@ def used_range(cells: DataFrame, sheets: DataFrame) -> DataFrame:
     return rows.na.fill(1, ["left_col", "top_row", "right_col", "bottom_row"])
 
 
-def range_overlaps(left: DataFrame, right: DataFrame, bucket: int = ROW_BUCKET) -> DataFrame:
-    """Intersecting ranges of the same sheet; ``clipped``: the right one is cut by the left one.
+def aligned_intervals(first: Column, last: Column) -> tuple[Column, Column]:
+    """(column ``_rows``, expression over it): the rows ``first`` to ``last`` (0 or more) as an array of (level, node): node * 2 ** level to (node + 1) * 2 ** level - 1.
 
-    Both sides are spread over row buckets, which turns the range test into an equi-join; a
-    pair is kept in the first bucket both share, so no duplicates have to be removed.
+    At most two a level below ``LEVELS``; there as many as the range is long. An empty range has none.
     """
-    def spread(rows: DataFrame, side: str) -> DataFrame:
-        first, last = F.floor(F.col("top_row") / bucket), F.floor(F.col("bottom_row") / bucket)
-        named = rows.select("sheet_id", *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != "sheet_id"], first.alias(f"{side}_first"), F.explode(F.sequence(first, last)).alias("bucket"))
-        return named
-
-    pairs = spread(left, "l").join(spread(right, "r"), ["sheet_id", "bucket"])
-    pairs = pairs.filter(F.col("bucket") == F.greatest("l_first", "r_first"))
-    pairs = pairs.filter(
-        "l_left_col <= r_right_col AND l_right_col >= r_left_col AND l_top_row <= r_bottom_row AND l_bottom_row >= r_top_row"
+    rows = F.struct(first.cast("long").alias("a"), (last + 1).cast("long").alias("e"))
+    span = "named_struct('level', j, 'l', shiftright(x.a + shiftleft(1L, j) - 1, j), 'r', shiftright(x.e, j))"
+    odd = (
+        f"filter(transform(sequence(0, {LEVELS - 1}), j -> {span}), y -> y.l < y.r)",
+        "filter(array(if(y.l % 2 = 1, named_struct('level', y.level, 'node', y.l), null), if(y.r % 2 = 1, named_struct('level', y.level, 'node', y.r - 1), null)), z -> z is not null)",
     )
-    clipped = F.expr("r_left_col < l_left_col OR r_top_row < l_top_row OR r_right_col > l_right_col OR r_bottom_row > l_bottom_row")
-    return pairs.withColumn("clipped", clipped).drop("bucket", "l_first", "r_first")
+    top = f"shiftright(x.a + shiftleft(1L, {LEVELS}) - 1, {LEVELS})", f"shiftright(x.e, {LEVELS})"
+    whole = f"if({top[0]} < {top[1]}, transform(sequence({top[0]}, {top[1]} - 1), k -> named_struct('level', {LEVELS}, 'node', k)), array())"
+    parts = F.expr(f"transform(array(_rows), x -> concat(flatten(transform({odd[0]}, y -> {odd[1]})), {whole}))[0]")
+    return rows, parts
+
+
+def range_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Intersecting ranges of the same sheet; ``clipped``: the right one is cut by the left one.
+
+    Two ranges share rows exactly if the one begins within the other, and then in one way only. A range is a few aligned
+    intervals, whatever its length, and a first row lies in one interval a level: the two meet in an equi-join, each
+    pair once.
+    """
+    corners = ["left_col", "top_row", "right_col", "bottom_row"]
+
+    def named(rows: DataFrame, side: str) -> DataFrame:
+        return rows.select("sheet_id", *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != "sheet_id"])
+
+    def covering(rows: DataFrame, side: str, later: int) -> DataFrame:
+        packed, parts = aligned_intervals(F.col(f"{side}_top_row") + later, F.col(f"{side}_bottom_row"))
+        return rows.withColumn("_rows", packed).withColumn("_at", F.explode(parts)).drop("_rows")
+
+    def starting(rows: DataFrame, side: str) -> DataFrame:
+        at = F.expr(f"transform(sequence(0, {LEVELS}), j -> named_struct('level', j, 'node', shiftright(cast({side}_top_row as bigint), j)))")
+        return rows.filter(F.col(f"{side}_top_row") <= F.col(f"{side}_bottom_row")).withColumn("_at", F.explode(at))
+
+    ours, theirs = named(left, "l"), named(right, "r")
+    keyed = lambda rows: rows.withColumn("_level", F.col("_at.level")).withColumn("_node", F.col("_at.node")).drop("_at")
+    on = ["sheet_id", "_level", "_node"]
+    columns = ["sheet_id", *[c for c in ours.columns if c != "sheet_id"], *[c for c in theirs.columns if c != "sheet_id"]]
+    begins_inside = keyed(covering(ours, "l", 0)).join(keyed(starting(theirs, "r")), on).select(*columns)
+    begins_before = keyed(covering(theirs, "r", 1)).join(keyed(starting(ours, "l")), on).select(*columns)
+    pairs = begins_inside.unionByName(begins_before).filter("l_left_col <= r_right_col AND l_right_col >= r_left_col")
+    clipped = F.expr(" OR ".join(f"r_{c} {'<' if i < 2 else '>'} l_{c}" for i, c in enumerate(corners)))
+    return pairs.withColumn("clipped", clipped)
 
 
 def expand_ranges(initial: DataFrame, merges: DataFrame) -> DataFrame:

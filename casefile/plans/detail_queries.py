@@ -257,7 +257,7 @@ def sheet_used_range(spark: SparkSession, folder: str) -> DataFrame:
 )
 def range_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     rows = views.ranges(spark, folder)
-    found = sheets.range_overlaps(rows.filter("kind = 'print'"), rows.filter("kind = 'merge'"), bucket=8)
+    found = sheets.range_overlaps(rows.filter("kind = 'print'"), rows.filter("kind = 'merge'"))
     return found.select("sheet_id", F.col("r_left_col").alias("m_left"), F.col("r_top_row").alias("m_top"), "clipped")
 
 
