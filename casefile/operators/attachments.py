@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from casefile.functions import text as T
 from casefile.functions.ordered import chunk_of, number_rows, running_sum
+from casefile.session import cut_lineage
 
 MIB = 1024 * 1024
 # Size limits by extension, archive and attachment limits.
@@ -105,6 +106,43 @@ def flatten_messages(parts: DataFrame, root: str, depth: int = MAX_DEPTH) -> Dat
     return result.unionByName(rest)
 
 
+TWICE, LOST, CIRCLE = "message occurs more than once", "message hangs on no known message", "messages hang on each other"
+
+
+def message_ordinals(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Ordinals ("3.1") and depths of messages given as parent links of any depth.
+
+    ``parts``: keys, message_id, parent_id (null: the root), place. Adds ordinal, depth and issue. Links are doubled: a
+    round joins every open message with the one its pointer has come to, so depth d takes about log2(d) rounds. Each round
+    reaches a root from at least one more message if any can; once none does, the rest hang on circles. A message whose id
+    is there more than once, hangs on an unknown one or on a circle, or below such a one, has an issue and no ordinal.
+    """
+    own = [*keys, "message_id"]
+    numbers = parts.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"), F.min("parent_id").alias("parent_id"), F.min("place").alias("place"))
+    one = cut_lineage(numbers.filter("_n = 1").drop("_n"))
+    known = one.select(*keys, F.col("message_id").alias("parent_id"), F.lit(True).alias("_known"))
+    state = one.join(known, [*keys, "parent_id"], "left").select(
+        *own, F.when(F.col("_known"), F.col("parent_id")).alias("_up"), (F.col("parent_id").isNotNull() & F.col("_known").isNull()).alias("_lost"),
+        F.array("place").alias("_path"),
+    )
+    state, before = cut_lineage(state), None
+    while True:
+        open_ = state.filter("_up IS NOT NULL").count()
+        if open_ in (0, before):
+            break
+        before = open_
+        above = state.select(*keys, F.col("message_id").alias("_up"), F.col("_up").alias("_next"), F.col("_lost").alias("_l"), F.col("_path").alias("_p"))
+        moved = state.filter("_up IS NOT NULL").join(above, [*keys, "_up"]).select(
+            *own, F.col("_next").alias("_up"), F.col("_l").alias("_lost"), F.concat("_p", "_path").alias("_path")
+        )
+        state = cut_lineage(state.filter("_up IS NULL").unionByName(moved))
+    found = state.select(*own, F.when(F.col("_up").isNotNull(), CIRCLE).when(F.col("_lost"), LOST).alias("issue"), "_path")
+    rows = parts.join(found, own, "left").withColumn("issue", F.when(F.col("_path").isNull(), TWICE).otherwise(F.col("issue")))
+    good = F.col("issue").isNull()
+    rows = rows.withColumn("ordinal", F.when(good, F.array_join(F.transform("_path", lambda p: p.cast("string")), ".")))
+    return rows.withColumn("depth", F.when(good, F.size("_path"))).drop("_path")
+
+
 def attachment_limits(parts: DataFrame, keys: list[str], max_children: int = MAX_CHILDREN, max_bytes: int = MAX_CHILD_BYTES) -> DataFrame:
     """Running count and size in depth-first order, with the limit that is first exceeded.
 

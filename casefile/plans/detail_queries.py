@@ -193,6 +193,32 @@ def attachment_tree(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("parent_id", "ordinal", "depth", "name", "extension", "supported", "nested", "identity")
 
 
+# turns hang on earlier ones; in some conversations two hang on each other, in others one on a turn that is not there
+PARENT_TURN = (
+    "CASE WHEN turn = 0 THEN NULL WHEN conv_id % 7 = 3 AND turn = 2 THEN 3 WHEN conv_id % 7 = 3 AND turn = 3 THEN 2 WHEN conv_id % 7 = 5 AND turn = 1 THEN 999999 "
+    "WHEN turn % 3 = 0 THEN turn - 2 ELSE turn - 1 END"
+)
+
+
+@query(
+    sql=with_views(
+        [],
+        ("m", f"SELECT conv_id, turn AS message_id, {PARENT_TURN} AS parent_id, turn % 4 + 1 AS place FROM conversations"),
+        ("walk", (
+            "SELECT m.conv_id, m.message_id, CAST(m.place AS VARCHAR) AS ordinal, 1 AS depth, m.parent_id IS NOT NULL AS lost FROM m WHERE m.parent_id IS NULL OR NOT EXISTS (SELECT 1 FROM m k WHERE k.conv_id = m.conv_id AND k.message_id = m.parent_id) "
+            "UNION ALL SELECT m.conv_id, m.message_id, concat(w.ordinal, '.', m.place), w.depth + 1, w.lost FROM walk w JOIN m ON m.conv_id = w.conv_id AND m.parent_id = w.message_id")),
+        select=(
+            "SELECT m.conv_id, m.message_id, CASE WHEN NOT lost THEN ordinal END AS ordinal, CASE WHEN NOT lost THEN depth END AS depth, "
+            f"CASE WHEN lost IS NULL THEN '{attachments.CIRCLE}' WHEN lost THEN '{attachments.LOST}' END AS issue FROM m LEFT JOIN walk USING (conv_id, message_id)"
+        ),
+        recursive=True,
+    )
+)
+def message_ordinals(spark: SparkSession, folder: str) -> DataFrame:
+    turns = views.table(spark, folder, "conversations").select("conv_id", F.col("turn").alias("message_id"), F.expr(PARENT_TURN).alias("parent_id"), (F.col("turn") % 4 + 1).alias("place"))
+    return attachments.message_ordinals(turns, ["conv_id"]).select("conv_id", "message_id", "ordinal", "depth", "issue")
+
+
 @query(
     sql=with_views(
         ["v_attachments"],
