@@ -267,15 +267,100 @@ def contention_groups(edges: DataFrame, keys: list[str]) -> DataFrame:
     return named.join(found.select(F.col("node").alias("_node"), F.col("component").alias("_group")), "_node").drop("_node")
 
 
+ROUNDS = 16
+"""Rounds of ``assign_edges`` before what is still open is folded in order."""
+
+
+def _settle_round(edges: DataFrame, claims: DataFrame, keys: list[str]) -> DataFrame:
+    """One round: open edges with what their candidate can be told to decide already.
+
+    ``edges`` have ``possible``: whether the candidate may still claim the source. ``claims`` (keys, source_seq, claimed_by)
+    are those of the last round; they bind candidates after ``claimed_by`` only, as one before it found the source free. A source is safe for a candidate if no earlier open one may claim it: it is surely free at the
+    candidate's turn. Adds ``decision`` (null: open) with ``chosen`` and ``confidence``, and narrows ``possible``: a source
+    cannot be claimed past a safe one that scores more, or less by under the tie margin.
+    """
+    place = [*keys, "source_seq"]
+    told = edges.select(*place, F.when(F.col("possible"), F.col("provisional_number")).alias("_by"), F.lit(None).cast("long").alias("claimed_by"))
+    told = told.unionByName(claims.withColumn("_by", F.lit(None).cast("long")))
+    told = told.groupBy(*place).agg(F.min("_by").alias("_first"), F.min("claimed_by").alias("claimed_by"))
+    rows = edges.join(told, place).filter(F.coalesce(F.col("claimed_by") >= F.col("provisional_number"), F.lit(True)))
+    rows = rows.withColumn("_safe", F.coalesce(F.col("_first") >= F.col("provisional_number"), F.lit(True)))
+
+    own = Window.partitionBy(*keys, "provisional_number")
+    score, safe, explicit = F.col("score"), F.col("_safe"), F.col("explicit")
+    rows = (
+        rows.withColumn("_rank", F.when(~explicit, F.row_number().over(own.orderBy("explicit", F.desc("score"), "source_seq"))))
+        .withColumn("_explicit", F.count_if(explicit).over(own))
+        .withColumn("_explicit_safe", F.count_if(explicit & safe).over(own))
+        .withColumn("_wall", F.max(F.when(~explicit & safe, F.struct("score", "source_seq"))).over(own))
+    )
+    rank, wall = F.col("_rank"), F.col("_wall")
+    rows = (
+        rows.withColumn("_only", F.max(F.when(explicit, F.col("source_seq"))).over(own))
+        .withColumn("_top", F.max(F.when(rank == 1, F.struct("score", "source_seq", "_safe"))).over(own))
+        .withColumn("_second", F.max(F.when(rank == 2, score)).over(own))
+        .withColumn("_second_safe", F.max(F.when((rank > 1) & safe, score)).over(own))
+        .withColumn("_wall_2", F.max(F.when(~explicit & safe & (F.col("source_seq") != wall["source_seq"]), score)).over(own))
+    )
+    top, second, second_safe = F.col("_top"), F.col("_second"), F.col("_second_safe")
+    best = top["score"]
+    decision = F.when(
+        F.col("_explicit") == F.col("_explicit_safe"),
+        F.when(F.col("_explicit") == 1, "explicit")
+        .when(F.coalesce(best < CLAIM_SCORE, F.lit(True)), "none")
+        .when(top["_safe"] & F.coalesce(best - second >= TIE_MARGIN, F.lit(True)), "matched")
+        .when(top["_safe"] & (best - second_safe < TIE_MARGIN), "ambiguous"),
+    )
+    in_way = F.when(F.col("source_seq") == wall["source_seq"], F.col("_wall_2")).otherwise(wall["score"])
+    open_way = F.when(explicit, F.col("_explicit_safe") == safe.cast("int")).otherwise(F.coalesce(score - in_way >= TIE_MARGIN, F.lit(True)))
+    rows = rows.withColumn("decision", decision)
+    chosen = F.when(F.col("decision") == "explicit", F.col("_only")).when(F.col("decision") == "matched", top["source_seq"])
+    return rows.select(
+        *place, "provisional_number", "score", "explicit", (F.col("possible") & open_way).alias("possible"), "decision",
+        chosen.alias("chosen"), F.when(F.col("decision") == "explicit", 99).otherwise(best).alias("confidence"),
+    )
+
+
+def assign_edges(edges: DataFrame, keys: list[str], rounds: int = ROUNDS) -> DataFrame:
+    """Decisions of serial claims over ``decision_edges``: keys, provisional_number, source_seq, confidence, decision.
+
+    Each round decides every candidate that earlier open ones can no longer influence, all over the table at once; later
+    ones then see what was claimed. The first open candidate of a matter always settles. A target's best free score falls
+    by the tie margin with each claim by score, so that any number of candidates with the same target settle in a few
+    rounds. Only chains longer than ``rounds`` remain; they are folded in order, each group of contenders by itself.
+    Candidates without a decision have no row. The result does not depend on ``rounds``.
+    """
+    may = F.col("explicit") | (F.col("score") >= CLAIM_SCORE)
+    open_ = edges.select(*keys, "source_seq", "provisional_number", "score", "explicit", may.alias("possible"))
+    claims, parts = open_.select(*keys, "source_seq", F.col("provisional_number").alias("claimed_by")).limit(0), []
+    for _ in range(rounds):
+        told = cut_lineage(_settle_round(open_, claims, keys))
+        settled = told.filter("decision is not null and decision <> 'none'").select(
+            *keys, "provisional_number", F.col("chosen").alias("source_seq"), "confidence", "decision"
+        ).distinct()
+        parts.append(settled)
+        claims = settled.filter("source_seq is not null").select(*keys, "source_seq", F.col("provisional_number").alias("claimed_by"))
+        open_ = told.filter("decision is null").select(*open_.columns)
+        if open_.isEmpty():
+            break
+    else:
+        taken = open_.drop("possible").join(claims, [*keys, "source_seq"], "left")
+        rest = contention_groups(taken.filter(F.coalesce(F.col("claimed_by") >= F.col("provisional_number"), F.lit(True))).drop("claimed_by"), keys)
+        parts.append(_decide(rest, [*keys, "_group"]).drop("_group"))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
 def greedy_assign(candidates: DataFrame, sources: DataFrame, keys: list[str], prefix: str = "AH") -> DataFrame:
     """Assigns sources in candidate order; a claimed source is not offered again inside its matter.
 
     Returns keys, provisional_number, source_seq (null: none), confidence, decision. The scoring is a Spark join. A
-    decision depends on earlier ones through shared sources only, so the decisive edges are folded in order within each
-    group of candidates that contend for sources, all groups in parallel; a task remembers the claims of one group.
+    decision depends on earlier ones through shared sources only: ``assign_edges`` settles in rounds whatever these can
+    no longer change.
     """
-    edges = contention_groups(cut_lineage(decision_edges(candidates, sources, keys, prefix)), keys)
-    decided = _decide(edges, [*keys, "_group"]).drop("_group")
+    decided = assign_edges(cut_lineage(decision_edges(candidates, sources, keys, prefix)), keys)
     best = top_sources(candidates.filter(F.col("citation_count") > 1), sources, keys, 1)
     several = candidates.filter(F.col("citation_count") > 1).select(*keys, "provisional_number").join(
         best.select(*keys, "provisional_number", "score"), [*keys, "provisional_number"], "left"
