@@ -45,17 +45,37 @@ def source_profiles(sources: DataFrame, keys: list[str], characters: int | None
     return rows.withColumn("profile", _digest(F.col("words"), F.col("dates")))
 
 
-def score_profiles(targets: DataFrame, profiles: DataFrame, keys: list[str], min_score: int = 1) -> DataFrame:
-    """(keys, target, profile, score) for every pair that reaches ``min_score``.
+def _points(shared: Column, words: Column, hit: Column) -> Column:
+    whole = F.floor(shared.cast("double") / words * WORD_WEIGHT + F.when(hit, DATE_WEIGHT).otherwise(0) + 0.5)
+    return F.least(whole, F.lit(MAX_SCORE)).cast("int")
+
+
+def _score_all(targets: DataFrame, profiles: DataFrame, keys: list[str]) -> DataFrame:
+    """``score_profiles`` down to one shared word: every shared word is met in the join, so the meetings are counted."""
+    n = F.size("words").alias("n")
+    posting = profiles.select(*keys, "profile", F.explode("words").alias("word"))
+    by_word = targets.select(*keys, "target", n, F.explode("words").alias("word")).join(posting, [*keys, "word"])
+    dated = profiles.select(*keys, "profile", F.explode(F.array_distinct("dates")).alias("date_key"))
+    by_date = targets.filter(F.size("words") > 0).select(*keys, "target", n, "date_key").join(dated, [*keys, "date_key"])
+    pair = [*keys, "target", "profile"]
+    met = by_word.select(*pair, "n", F.lit(1).alias("shared")).unionByName(by_date.select(*pair, "n", F.lit(0).alias("shared")))
+    counted = met.groupBy(*pair).agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), (F.min("shared") == 0).alias("hit"))
+    return counted.select(*pair, _points(F.col("shared"), F.col("n"), F.col("hit")).alias("score")).filter(F.col("score") >= 1)
+
+
+def score_profiles(targets: DataFrame, profiles: DataFrame, keys: list[str], min_score: int = 1, min_shared: int = 1) -> DataFrame:
+    """(keys, target, profile, score) for every pair that reaches ``min_score`` and shares ``min_shared`` words or the date.
 
     ``targets`` and ``profiles`` are distinct per digest: copies are scored once. The join
     is on (keys, word), with the rarest words of a target only: a pair that reaches
     ``min_score`` without a date hit shares one of its ``n - needed + 1`` rarest words.
     Pairs with a date hit meet on the date itself.
     """
+    if min_score <= 1 and min_shared <= 1:
+        return _score_all(targets, profiles, keys)
     n = F.size("words")
     # least number of shared words that can reach the score without a date hit
-    needed = F.greatest(F.ceil((F.lit(min_score) - 0.5) * n / WORD_WEIGHT - 1e-9), F.lit(1))
+    needed = F.greatest(F.ceil((F.lit(min_score) - 0.5) * n / WORD_WEIGHT - 1e-9), F.lit(min_shared))
     posting = profiles.select(*keys, "profile", F.explode("words").alias("word"))
     frequency = posting.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("df"))
     spread = targets.select(*keys, "target", n.alias("n"), needed.alias("needed"), F.explode("words").alias("word"))
@@ -63,7 +83,7 @@ def score_profiles(targets: DataFrame, profiles: DataFrame, keys: list[str], min
     ranked = spread.join(frequency, [*keys, "word"], "left").groupBy(*keys, "target", "n", "needed").agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("ordered")
     )
-    kept = F.slice("ordered", F.lit(1), (F.col("n") - F.col("needed") + 1).cast("int"))
+    kept = F.slice("ordered", F.lit(1), F.greatest(F.col("n") - F.col("needed") + 1, F.lit(0)).cast("int"))
     prefix = ranked.select(*keys, "target", F.explode(kept).alias("w")).filter("w.df > 0").select(
         *keys, "target", F.col("w.word").alias("word")
     )
@@ -77,36 +97,44 @@ def score_profiles(targets: DataFrame, profiles: DataFrame, keys: list[str], min
         .withColumn("shared", F.size(F.array_intersect("wanted", "words")))
     )
     hit = F.coalesce(F.array_contains("dates", F.col("date_key")), F.lit(False))
-    points = F.floor(
-        F.col("shared").cast("double") / F.size("wanted") * WORD_WEIGHT + F.when(hit, DATE_WEIGHT).otherwise(0) + 0.5
-    )
-    return scored.select(*keys, "target", "profile", F.least(points, F.lit(MAX_SCORE)).cast("int").alias("score")).filter(
-        F.col("score") >= min_score
-    )
+    points = _points(F.col("shared"), F.size("wanted"), hit).alias("score")
+    return scored.filter((F.col("shared") >= min_shared) | hit).select(*keys, "target", "profile", points).filter(F.col("score") >= min_score)
 
 
-def distinct_targets(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    rows = target_profiles(candidates, keys).select(*keys, "target", "words", "date_key")
+def _distinct(rows: DataFrame, keys: list[str]) -> DataFrame:
+    rows = rows.select(*keys, "target", "words", "date_key")
     # a target without words scores its date hit alone; it is kept with one impossible word
     rows = rows.withColumn("words", F.when(F.size("words") > 0, F.col("words")).otherwise(F.array(F.lit("\u0000"))))
     return rows.dropDuplicates([*keys, "target"])
 
 
-def distinct_profiles(sources: DataFrame, keys: list[str]) -> DataFrame:
+def distinct_targets(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    return _distinct(target_profiles(candidates, keys), keys)
+
+
+def usable_profiles(sources: DataFrame, keys: list[str]) -> DataFrame:
+    """Profiles of the sources that may be offered: keys, profile, words, dates, source_seq."""
     rows = source_profiles(sources.filter(~F.coalesce(F.col("marker") == "N/A", F.lit(False))), keys)
-    return rows.select(*keys, "profile", "words", "dates").dropDuplicates([*keys, "profile"])
+    return rows.select(*keys, "profile", "words", "dates", "source_seq")
+
+
+def distinct_profiles(sources: DataFrame, keys: list[str]) -> DataFrame:
+    return usable_profiles(sources, keys).drop("source_seq").dropDuplicates([*keys, "profile"])
 
 
 def score_pairs(candidates: DataFrame, sources: DataFrame, keys: list[str], min_score: int = 1) -> DataFrame:
     """Scores of distinct targets against distinct source profiles, with the smallest member of each."""
-    targets, profiles = distinct_targets(candidates, keys), distinct_profiles(sources, keys)
-    named_targets = target_profiles(candidates, keys).groupBy(*keys, "target").agg(
+    # both are read three times: for the words, for the scores and for their members
+    rows = cut_lineage(target_profiles(candidates, keys).select(*keys, "target", "words", "date_key", "provisional_number"))
+    usable = cut_lineage(usable_profiles(sources, keys))
+    named_targets = rows.groupBy(*keys, "target").agg(
         F.min("provisional_number").alias("first_candidate"), F.count(F.lit(1)).alias("candidates")
     )
-    named_profiles = source_profiles(sources, keys).filter(~F.coalesce(F.col("marker") == "N/A", F.lit(False))).groupBy(
-        *keys, "profile"
-    ).agg(F.min("source_seq").alias("first_source"), F.count(F.lit(1)).alias("sources"))
-    scores = score_profiles(targets, profiles, keys, min_score)
+    named_profiles = usable.groupBy(*keys, "profile").agg(
+        F.min("source_seq").alias("first_source"), F.count(F.lit(1)).alias("sources")
+    )
+    profiles = usable.drop("source_seq").dropDuplicates([*keys, "profile"])
+    scores = score_profiles(_distinct(rows, keys), profiles, keys, min_score)
     return scores.join(named_targets, [*keys, "target"]).join(named_profiles, [*keys, "profile"])
 
 
@@ -130,16 +158,14 @@ def first_per_profile(profiled: DataFrame, keys: list[str], limit: int = ALTERNA
 def rank_targets(candidates: DataFrame, sources: DataFrame, keys: list[str], limit: int = ALTERNATIVES) -> DataFrame:
     """The best ``limit`` sources per target, by score and then source order, zero scores included.
 
-    High scores come from the narrow prefix join. Only targets it leaves short are scored
-    down to one shared word, and only targets still short are filled with the first sources.
+    The bound falls in steps, for the targets left short only. High scores come from the narrow prefix join, then all that
+    shares two words or the date. All sources that share just one word score the same, less than those: the first
+    ``2 * limit`` sources of a word's list hold the ``limit`` that can be wanted, the rest of the list is not read. Targets
+    still short are filled with the first sources.
     """
     # each of these is read several times below: computed once, kept in the checkpoint folder
     targets = cut_lineage(distinct_targets(candidates, keys))
-    usable = cut_lineage(
-        source_profiles(sources.filter(~F.coalesce(F.col("marker") == "N/A", F.lit(False))), keys).select(
-            *keys, "profile", "words", "dates", "source_seq"
-        )
-    )
+    usable = cut_lineage(usable_profiles(sources, keys))
     profiles = usable.select(*keys, "profile", "words", "dates").dropDuplicates([*keys, "profile"])
     heads = first_per_profile(usable, keys, limit)
     best = Window.partitionBy(*keys, "target").orderBy(F.desc("score"), "source_seq")
@@ -150,9 +176,19 @@ def rank_targets(candidates: DataFrame, sources: DataFrame, keys: list[str], lim
 
     strong = cut_lineage(top(score_profiles(targets, profiles, keys, CLAIM_SCORE - TIE_MARGIN)))
     full = strong.filter(F.col("rank") == limit).select(*keys, "target")
-    weak_targets = targets.join(full, [*keys, "target"], "left_anti")
-    weak = top(score_profiles(weak_targets, profiles, keys, 1))
-    ranked = cut_lineage(strong.join(full, [*keys, "target"], "left_semi").unionByName(weak))
+    weak = targets.join(full, [*keys, "target"], "left_anti").withColumn("alone", _points(F.lit(1), F.size("words"), F.lit(False)))
+    known = cut_lineage(top(score_profiles(weak, profiles, keys, 1, 2)))
+    above = known.filter(F.col("rank") == limit).join(weak.select(*keys, "target", "alone"), [*keys, "target"]).filter("score > alone")
+    above = above.select(*keys, "target")
+    lists = Window.partitionBy(*keys, "word").orderBy("source_seq")
+    openings = usable.select(*keys, "source_seq", F.explode("words").alias("word")).withColumn("_n", F.row_number().over(lists))
+    openings = openings.filter(F.col("_n") <= 2 * limit).drop("_n")
+    lone = weak.filter("alone > 0").join(above, [*keys, "target"], "left_anti")
+    lone = lone.select(*keys, "target", F.col("alone").alias("score"), F.explode("words").alias("word")).join(openings, [*keys, "word"])
+    lone = lone.select(*keys, "target", "source_seq", "score").distinct()
+    lone = lone.join(known.select(*keys, "target", "source_seq"), [*keys, "target", "source_seq"], "left_anti")
+    merged = known.drop("rank").unionByName(lone.select(*known.drop("rank").columns)).withColumn("rank", F.row_number().over(best))
+    ranked = cut_lineage(strong.join(full, [*keys, "target"], "left_semi").unionByName(merged.filter(F.col("rank") <= limit)))
     # fill: among the first 2 * limit sources of a matter at least ``limit`` are not ranked yet
     first = Window.partitionBy(*keys).orderBy("source_seq")
     openers = usable.select(*keys, "source_seq").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= 2 * limit).drop("_n")
@@ -168,6 +204,7 @@ def rank_targets(candidates: DataFrame, sources: DataFrame, keys: list[str], lim
 
 def top_sources(candidates: DataFrame, sources: DataFrame, keys: list[str], limit: int = ALTERNATIVES) -> DataFrame:
     """``rank_targets`` for every candidate: keys, provisional_number, rank, source_seq, score."""
+    candidates = cut_lineage(candidates.select(*keys, "provisional_number", "description", "citation", "date_text"))
     ranked = rank_targets(candidates, sources, keys, limit)
     named = target_profiles(candidates, keys).select(*keys, "target", "provisional_number")
     return named.join(ranked, [*keys, "target"]).select(*keys, "provisional_number", "rank", "source_seq", "score")
@@ -360,6 +397,10 @@ def greedy_assign(candidates: DataFrame, sources: DataFrame, keys: list[str], pr
     decision depends on earlier ones through shared sources only: ``assign_edges`` settles in rounds whatever these can
     no longer change.
     """
+    # read several times below: computed once
+    candidates = cut_lineage(
+        candidates.select(*keys, "provisional_number", "description", "citation", "date_text", "citation_count", "resolution", "mark")
+    )
     decided = assign_edges(cut_lineage(decision_edges(candidates, sources, keys, prefix)), keys)
     best = top_sources(candidates.filter(F.col("citation_count") > 1), sources, keys, 1)
     several = candidates.filter(F.col("citation_count") > 1).select(*keys, "provisional_number").join(
