@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casefile.functions.ordered import chunk_of, number_rows
+from casefile.functions.ordered import running_max
 from casefile.operators.planning import next_fit
 from casefile.session import cut_lineage
 
@@ -70,30 +70,52 @@ def range_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
     return pairs.withColumn("clipped", clipped)
 
 
+BAND = 4096
+"""Rows or columns whose merged cells a sweep takes in one group."""
+
+
+def _swept(ranges: DataFrame, merged: DataFrame, first: str, last: str, side: str, far: str) -> DataFrame:
+    """Ranges grown along one axis (``first`` to ``last``) as far as a chain of merged cells leads.
+
+    Among the cells that share a column (row) with the range, those whose spans follow each other without a gap form
+    islands: a span begins one where it starts beyond all ends before it. The range takes in the island it lies on.
+    """
+    corners = [first, last, side, far]
+    own = ranges.select("sheet_id", *corners, F.col(first).alias("_from"))
+    span = ranges.select("sheet_id", F.col(first).alias("_from"), F.col(side).alias("_side"), F.col(far).alias("_far"))
+    met = merged.join(span, "sheet_id").filter((F.col(side) <= F.col("_far")) & (F.col(far) >= F.col("_side")))
+    rows = own.unionByName(met.select("sheet_id", *corners, "_from")).withColumn("_band", F.floor(F.col(first) / BAND))
+    rows = cut_lineage(running_max(rows, ["sheet_id"], [first], last, "_reach", ["_band"]))
+    begins = rows.filter(F.col("_reach").isNull() | (F.col(first) > F.col("_reach")))
+    island = begins.groupBy("sheet_id").agg(
+        F.max(F.when(F.col(first) <= F.col("_from"), F.col(first))).alias("_begin"), F.min(F.when(F.col(first) > F.col("_from"), F.col(first))).alias("_next")
+    )
+    inside = rows.join(island, "sheet_id").filter((F.col(first) >= F.col("_begin")) & F.coalesce(F.col(first) < F.col("_next"), F.lit(True)))
+    return inside.groupBy("sheet_id").agg(F.min(first).alias(first), F.max(last).alias(last), F.min(side).alias(side), F.max(far).alias(far))
+
+
 def expand_ranges(initial: DataFrame, merges: DataFrame) -> DataFrame:
-    """Grows each sheet's range over the merged cells it touches until nothing changes.
+    """Grows each sheet's one range over the merged cells it touches until nothing changes.
 
-    A loop of joins; each turn works only on the sheets that changed in the last one.
+    A turn sweeps along the rows and then along the columns, each for chains of any length at once; another turn follows
+    for those sheets whose range grew. So turns grow with the changes of direction, not with the merged cells.
     """
     corners = ["left_col", "top_row", "right_col", "bottom_row"]
-    active, done = initial.select("sheet_id", *corners), None
-    merged = merges.select("sheet_id", *corners)
+    active, done = initial.filter("sheet_id is not null").select("sheet_id", *corners), []
+    merged = merges.select("sheet_id", *corners).filter(" and ".join(f"{c} is not null" for c in corners))
     while True:
-        hits = range_overlaps(active, merged).groupBy("sheet_id").agg(
-            F.min("r_left_col").alias("a"), F.min("r_top_row").alias("b"), F.max("r_right_col").alias("c"), F.max("r_bottom_row").alias("d")
-        )
-        rows = active.join(hits, "sheet_id", "left")
-        grown = rows.select(
-            "sheet_id", F.least("left_col", "a").alias("left_col"), F.least("top_row", "b").alias("top_row"),
-            F.greatest("right_col", "c").alias("right_col"), F.greatest("bottom_row", "d").alias("bottom_row"),
-            F.coalesce(F.expr("a < left_col OR b < top_row OR c > right_col OR d > bottom_row"), F.lit(False)).alias("changed"),
-        )
-        grown = cut_lineage(grown)
-        settled = grown.filter("NOT changed").drop("changed")
-        done = settled if done is None else done.unionByName(settled)
-        active = grown.filter("changed").drop("changed")
+        down = _swept(active, merged, "top_row", "bottom_row", "left_col", "right_col")
+        grown = _swept(down, merged, "left_col", "right_col", "top_row", "bottom_row")
+        before = active.select("sheet_id", F.struct(*corners).alias("_before"))
+        grown = cut_lineage(grown.join(before, "sheet_id").withColumn("_changed", F.struct(*corners) != F.col("_before")))
+        done.append(grown.filter("not _changed").select("sheet_id", *corners))
+        active = grown.filter("_changed").select("sheet_id", *corners)
         if active.isEmpty():
-            return done
+            break
+    result = initial.filter("sheet_id is null").select("sheet_id", *corners)
+    for settled in done:
+        result = result.unionByName(settled)
+    return result
 
 
 def column_number(letters: Column) -> Column:

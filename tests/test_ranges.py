@@ -42,3 +42,47 @@ def test_intervals(spark):
         assert [x for x, _ in pieces] == [row.a, *[y for _, y in pieces[:-1]]][: len(pieces)]
         assert (pieces[-1][1] == row.b + 1) if pieces else row.b < row.a
         assert len(pieces) <= 2 * sheets.LEVELS + ((row.b - row.a) >> sheets.LEVELS) + 1
+
+
+def closed(start, cells):
+    """The rule itself: again and again over all cells until nothing changes."""
+    a = list(start)
+    while True:
+        before = list(a)
+        for left, top, right, bottom in cells:
+            if a[0] <= right and a[2] >= left and a[1] <= bottom and a[3] >= top:
+                a = [min(a[0], left), min(a[1], top), max(a[2], right), max(a[3], bottom)]
+        if a == before:
+            return tuple(a)
+
+
+def expanded(spark, starts, merged):
+    rows = sheets.expand_ranges(spark.createDataFrame(starts, RANGE), spark.createDataFrame(merged, RANGE)).collect()
+    return sorted(tuple(r[c.split()[0]] for c in RANGE.split(", ")) for r in rows)
+
+
+def test_expansion(spark):
+    draw, starts, merged = random.Random(5), [], []
+    for sheet in range(40):
+        size = draw.choice([12, 40, 9000])
+        left, top = draw.randrange(1, size), draw.randrange(1, size)
+        starts.append((sheet, left, top, left + draw.randrange(4), top + draw.randrange(4)))
+        for _ in range(draw.choice([0, 3, 30])):
+            left, top = draw.randrange(1, size), draw.randrange(1, size)
+            merged.append((sheet, left, top, left + draw.randrange(max(2, size // 8)), top + draw.randrange(max(2, size // 8))))
+    merged += merged[:20] + [(99, 1, 1, 2, 2), (3, None, 1, 2, 2)]
+    want = [(s[0], *closed(s[1:], [m[1:] for m in merged if m[0] == s[0] and m[1] is not None])) for s in starts]
+    assert expanded(spark, starts, merged) == sorted(want)
+    assert expanded(spark, [], merged) == [] and expanded(spark, starts, []) == sorted(starts)
+
+
+def test_long_chain(spark, monkeypatch):
+    """10,000 cells, each reached through the one before, up, down and aside, in few sweeps."""
+    sweeps, real = [], sheets._swept
+    monkeypatch.setattr(sheets, "_swept", lambda *given: sweeps.append(1) or real(*given))
+    start = (1, 2, 30_000, 4, 30_000)
+    merged = [(1, 2 + 2 * (k % 2), 30_000 + k, 2 + 2 * (k % 2), 30_001 + k) for k in range(5000)]
+    merged += [(1, 2 + 2 * (k % 2), 29_999 - k, 2 + 2 * (k % 2), 30_000 - k) for k in range(5000)]
+    merged += [(1, 4 + k, 35_000 + 2 * (k % 2), 5 + k, 35_000 + 2 * (k % 2)) for k in range(100)] + [(1, 2, 40_000, 3, 40_001)]
+    assert expanded(spark, [start], merged) == [(1, *closed(start[1:], [m[1:] for m in sorted(merged, key=lambda m: abs(m[2] - 30_000))]))]
+    assert len(sweeps) <= 6
