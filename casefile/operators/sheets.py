@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +74,18 @@ def range_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
 
 BAND = 4096
 """Rows or columns whose merged cells a sweep takes in one group."""
+SINGLE = 6
+"""Turns of one touching cell at a time, cheaper than sweeps, before ranges that still grow are swept."""
+
+
+def _touched(ranges: DataFrame, merged: DataFrame) -> DataFrame:
+    """Ranges grown over the merged cells they touch now."""
+    corners = ["left_col", "top_row", "right_col", "bottom_row"]
+    hits = range_overlaps(ranges, merged).groupBy("sheet_id").agg(
+        *[(F.min if i < 2 else F.max)(f"r_{c}").alias(f"_{c}") for i, c in enumerate(corners)]
+    )
+    grown = [(F.least if i < 2 else F.greatest)(c, f"_{c}").alias(c) for i, c in enumerate(corners)]
+    return ranges.join(hits, "sheet_id", "left").select("sheet_id", *grown)
 
 
 def _swept(ranges: DataFrame, merged: DataFrame, first: str, last: str, side: str, far: str) -> DataFrame:
@@ -97,15 +111,19 @@ def _swept(ranges: DataFrame, merged: DataFrame, first: str, last: str, side: st
 def expand_ranges(initial: DataFrame, merges: DataFrame) -> DataFrame:
     """Grows each sheet's one range over the merged cells it touches until nothing changes.
 
-    A turn sweeps along the rows and then along the columns, each for chains of any length at once; another turn follows
-    for those sheets whose range grew. So turns grow with the changes of direction, not with the merged cells.
+    Most sheets settle in the first ``SINGLE`` turns. In later ones a turn sweeps along the rows and then along the columns,
+    each for chains of any length at once. Only sheets whose range grew take part in the next turn. So turns grow with the
+    changes of direction, not with the merged cells.
     """
     corners = ["left_col", "top_row", "right_col", "bottom_row"]
     active, done = initial.filter("sheet_id is not null").select("sheet_id", *corners), []
     merged = merges.select("sheet_id", *corners).filter(" and ".join(f"{c} is not null" for c in corners))
-    while True:
-        down = _swept(active, merged, "top_row", "bottom_row", "left_col", "right_col")
-        grown = _swept(down, merged, "left_col", "right_col", "top_row", "bottom_row")
+    for turn in count():
+        if turn < SINGLE:
+            grown = _touched(active, merged)
+        else:
+            down = _swept(active, merged, "top_row", "bottom_row", "left_col", "right_col")
+            grown = _swept(down, merged, "left_col", "right_col", "top_row", "bottom_row")
         before = active.select("sheet_id", F.struct(*corners).alias("_before"))
         grown = cut_lineage(grown.join(before, "sheet_id").withColumn("_changed", F.struct(*corners) != F.col("_before")))
         done.append(grown.filter("not _changed").select("sheet_id", *corners))

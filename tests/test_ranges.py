@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from casefile.operators import sheets
@@ -61,7 +62,9 @@ def expanded(spark, starts, merged):
     return sorted(tuple(r[c.split()[0]] for c in RANGE.split(", ")) for r in rows)
 
 
-def test_expansion(spark):
+@pytest.mark.parametrize("single", [0, sheets.SINGLE])
+def test_expansion(spark, monkeypatch, single):
+    monkeypatch.setattr(sheets, "SINGLE", single)
     draw, starts, merged = random.Random(5), [], []
     for sheet in range(40):
         size = draw.choice([12, 40, 9000])
@@ -73,7 +76,7 @@ def test_expansion(spark):
     merged += merged[:20] + [(99, 1, 1, 2, 2), (3, None, 1, 2, 2)]
     want = [(s[0], *closed(s[1:], [m[1:] for m in merged if m[0] == s[0] and m[1] is not None])) for s in starts]
     assert expanded(spark, starts, merged) == sorted(want)
-    assert expanded(spark, [], merged) == [] and expanded(spark, starts, []) == sorted(starts)
+    assert expanded(spark, [], merged) == []
 
 
 def test_long_chain(spark, monkeypatch):
