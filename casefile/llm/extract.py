@@ -39,7 +39,7 @@ READERS = frozenset("comment comments commentlist disqus replies reply respond".
 BONUS = {"article": 10.0, "main": 10.0, "section": 3.0, "div": 3.0, "td": 2.0, "blockquote": 2.0, "pre": 2.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "address": -3.0}
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
-NAMES = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 
@@ -226,18 +226,19 @@ class Page:
 
 
 def _words(attributes: str) -> tuple[set[str], bool]:
-    """Words of class, id and role, and whether the element is hidden."""
+    """Words of class, id and role, and whether the element is hidden. Names count whole (``data-id`` is no ``id``), and
+    what stands within the value of another attribute counts nothing."""
     words: set[str] = set()
     hidden = False
-    if "=" not in attributes and "hidden" not in attributes:
+    if "=" not in attributes and "hidden" not in attributes.lower():
         return words, hidden
-    for name, *values in NAMES.findall(attributes):
+    for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), values[0] or values[1] or values[2]
         if name in ("class", "id", "role"):
             words.update(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()))
         elif name == "style":
             hidden = hidden or bool(HIDDEN.search(value))
-        elif name == "hidden" and re.search(r"(?:^|\s)hidden(?:[\s=/]|$)", attributes):
+        elif name == "hidden":
             hidden = True
         elif name == "aria-hidden":
             hidden = hidden or value.lower() == "true"

@@ -38,6 +38,19 @@ def test_edges():
     assert main_text("<article><header><h1>H</h1><p>by me</p></header><p>Body.</p></article>") == "H Body."
 
 
+@pytest.mark.parametrize(
+    "attributes",
+    ['data-id="promo"', "data-role='share'", 'title="see id=nav"', "title='class=\"ad\" hidden'", "data-hidden", "my-class=ad", 'data-style="display:none"', "aria-label=hidden", "xclass = sidebar"],
+)
+def test_names_of_attributes_count_whole(attributes):
+    assert main_text(f"<article>{BODY}<div {attributes}>{LONG}</div></article>") == f"{WANT} {LONG}"
+
+
+@pytest.mark.parametrize("attributes", ["ID=promo", "class = 'x ad'", "data-x=1 ROLE=complementary", "HIDDEN", "hidden=''", 'STYLE="Display : None"', "title='a b' aria-hidden=true"])
+def test_parts_by_attributes(attributes):
+    assert main_text(f"<article>{BODY}<div {attributes}>{JUNK}</div></article>") == WANT
+
+
 def test_rows(spark):
     rows = [(1, "u", "<p>é, a</p>", "t"), (1, "u", "<p>é, a</p>", "t"), (None, None, None, None)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
