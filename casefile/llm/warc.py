@@ -26,6 +26,7 @@ from casefile.llm.common import cut
 ARCHIVE_BYTES = 1 << 30
 SPAN = 8 << 20
 GAP = 64 << 10
+TASK_BYTES = 128 << 20
 INDEX = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, file string, offset bigint, length bigint"
 
 
@@ -124,11 +125,21 @@ def ranges(selected: DataFrame, span: int = SPAN, gap: int = GAP) -> DataFrame:
     return df.groupBy("file", "_span", "_run").agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("stop"), places.alias("places"))
 
 
+def dealt(found: DataFrame, task_bytes: int = TASK_BYTES, span: int = SPAN) -> DataFrame:
+    """The byte ranges in tasks of about ``task_bytes`` each, in file order; fewer bytes than that for every core are
+    dealt in tasks of a span. A shuffle of index rows alone would be merged into one reading task."""
+    width = found.agg(F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()[0]
+    cores = found.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-width // task_bytes), min(cores, -(-width // span)))
+    return found.repartitionByRange(tasks, "file", "start").sortWithinPartitions("file", "start")
+
+
 def read_records(selected: DataFrame, payload: bool = False) -> DataFrame:
     """The records behind index rows: (page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload]).
 
     Digest and size of a response are taken from its payload and must agree with the record's head; those of a revisit
-    are what its head says. Every selected place is read once, however often it is selected.
+    are what its head says. Every selected place is read once, however often it is selected. Other columns of the index
+    rows go; no index rows, no records.
     """
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + (", payload binary" if payload else "")
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * payload
@@ -155,7 +166,7 @@ def read_records(selected: DataFrame, payload: bool = False) -> DataFrame:
                 rows = [one(zlib.decompress(data[p["offset"] - start : p["offset"] - start + p["length"]], 31)) for p in places]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    found = ranges(selected).select("file", "start", "stop", "places")
+    found = dealt(ranges(selected).select("file", "start", "stop", "places"))
     return found.mapInArrow(run, schema)
 
 

@@ -40,3 +40,13 @@ def test_selection_reads_few_ranges(spark, tmp_path):
     assert warc.read_records(index.filter("false")).count() == 0
     empty = warc.archive(spark, frame.filter("false"), f"file://{tmp_path}/none")
     assert empty.count() == 0
+
+
+def test_ranges_are_dealt_by_bytes(spark, tmp_path):
+    frame = spark.createDataFrame([(i, "u", f"{i}" * 2000) for i in range(200)], "page_id long, url string, html string").coalesce(1)
+    found = warc.ranges(warc.archive(spark, frame, f"file://{tmp_path}/w"), span=500)
+    width = sum(r.stop - r.start for r in found.collect())
+    sizes = warc.dealt(found, task_bytes=width // 6).rdd.glom().map(lambda rows: sum(r.stop - r.start for r in rows)).collect()
+    assert sum(sizes) == width and len([x for x in sizes if x]) >= 6 and max(sizes) < width / 3
+    assert warc.dealt(found, span=width).rdd.getNumPartitions() == 1
+    assert warc.dealt(found.filter("false")).count() == 0
