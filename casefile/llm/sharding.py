@@ -10,18 +10,22 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casefile.functions.ordered import running_sum
 from casefile.llm.common import cut
 
 BUCKET_BYTES = 32 << 20
-FINE = 1 << 16
+CHUNK = 65_536
+"""Buckets whose sizes are added up in one task."""
 
 
-def scatter(docs: DataFrame, seed: int) -> DataFrame:
-    """Adds ``_fine``, a uniform cell number. Equal texts and equal or null ids spread; rows equal in both stay together."""
-    return docs.withColumn("_fine", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(FINE)).cast("int"))
+def row_hash(docs: DataFrame, seed: int) -> Column:
+    """Hash of a row by all its columns but maps: equal texts, and equal or null ids, spread; only rows equal in all of
+    it stay together."""
+    atoms = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    return F.xxhash64(F.lit(seed), *atoms)
 
 
 def shuffle_into(docs: DataFrame, folder: str, shards: int = 40, seed: int = 11, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -29,18 +33,17 @@ def shuffle_into(docs: DataFrame, folder: str, shards: int = 40, seed: int = 11,
 
     Adds ``shard`` and ``slot`` (place in the shard, from 0 without gaps); columns of these names in ``docs`` are
     replaced. The outcome depends on the rows, the seed and the parameters only. Null texts are empty. An empty input
-    leaves an empty table.
+    leaves an empty table. There are as many buckets as the bytes need, at any size.
     """
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in ("shard", "slot", "_fine", "_bucket")]
-    rows = scatter(docs.select(*kept), seed)
+    kept = [c for c in docs.columns if c not in ("shard", "slot", "_order", "_bucket")]
+    docs = docs.select(*kept)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
-    cells = cut(rows.groupBy("_fine").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")))  # at most FINE rows
-    total, width = cells.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    buckets = max(1, min(FINE, -(-width // bucket_bytes)))
-    bucket = (F.col("_fine") % buckets).alias("_bucket")
-    starts = cells.groupBy(bucket).agg(F.sum("n").alias("n"))
-    starts = starts.select("_bucket", (F.sum("n").over(Window.orderBy("_bucket")) - F.col("n")).alias("start"))
+    total, width = docs.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    buckets = max(1, -(-width // bucket_bytes))
+    rows = docs.withColumn("_order", row_hash(docs, seed)).withColumn("_bucket", F.pmod(F.xxhash64("_order"), F.lit(buckets)))
+    starts = rows.groupBy("_bucket").agg(F.count("*").alias("n")).withColumn("_chunk", F.floor(F.col("_bucket") / CHUNK))
+    starts = running_sum(cut(starts), [], ["_bucket"], "n", "start", ["_chunk"], exclusive=True).select("_bucket", "start")
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.drop_columns(["_bucket"])
@@ -53,8 +56,7 @@ def shuffle_into(docs: DataFrame, folder: str, shards: int = 40, seed: int = 11,
         slot = rank - shard * total // shards
         return out.append_column("shard", pa.array(shard, pa.int32())).append_column("slot", pa.array(slot, pa.int64()))
 
-    given = rows.select(*kept, F.xxhash64("text").alias("_order"), bucket)
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*kept).dtypes), "shard int", "slot bigint"])
-    placed = given.groupBy("_bucket").cogroup(starts.groupBy("_bucket")).applyInArrow(run, schema)
+    placed = rows.groupBy("_bucket").cogroup(starts.groupBy("_bucket")).applyInArrow(run, schema)
     placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
     return spark.read.schema(schema).parquet(folder)

@@ -36,3 +36,16 @@ def test_few_and_no_rows(spark, tmp_path):
     few = run(spark, tmp_path, [(1, "a", None, 0), (2, "b", None, 0)]).collect()
     assert sorted(r.slot for r in few) == [0, 0] and len({r.shard for r in few}) == 2
     assert zlib.crc32(b"") == 0
+
+
+def test_as_many_buckets_as_the_bytes_need(spark, tmp_path):
+    rows = [(i % 7, "x" * (i % 5), None, i) for i in range(3000)]  # few ids and texts: the other columns spread them
+    frame = spark.createDataFrame(rows, COLUMNS)
+    hashes = frame.select(sharding.row_hash(frame, 3).alias("h")).distinct().count()
+    assert hashes == len(rows)
+    found = run(spark, tmp_path, rows, bucket_bytes=1, shards=7).collect()  # more than 2 ** 15 buckets, most of them empty
+    assert sorted((r.doc_id, r.text, r.extra) for r in found) == sorted((a, b, d) for a, b, _, d in rows)
+    counts = Counter(r.shard for r in found)
+    assert len(counts) == 7 and max(counts.values()) - min(counts.values()) <= 1
+    for shard, n in counts.items():
+        assert sorted(r.slot for r in found if r.shard == shard) == list(range(n))
