@@ -1,8 +1,11 @@
 """Quality rules whose limits follow the corpus: per language and source, from mergeable quantile sketches.
 
 The sketch is a histogram with log-linear buckets (a value keeps its six leading bits, so a bucket is at most 1/32 of
-its value wide). Histograms merge by adding counts: partial aggregates in the map tasks, then per (language, source),
-and per language from those. Everything is integer arithmetic, so the outcome does not depend on the partitioning.
+its value wide). Histograms merge by adding counts: partial aggregates in the map tasks, then per (language, source), per
+language from those, and over the corpus from those. A group's quartiles are drawn towards its language's, and a
+language's towards the corpus's, as if each group had ``prior`` documents more of that kind: one formula at every size,
+in which small groups follow their language and large ones themselves. Everything is integer arithmetic, so the outcome
+does not depend on the partitioning.
 """
 
 from __future__ import annotations
@@ -25,13 +28,13 @@ class Limits:
 
     ``spread``: how many times the distance from the median to the quartile a value may lie beyond the median.
     ``slack``: what it may lie beyond in any case, in thousandths (symbols, shouts, repeated words and duplicate lines
-    per word; characters per word). ``least``: documents a group needs for limits of its own; smaller groups take those
-    of their language, and a language with fewer sets no limits.
+    per word; characters per word). ``prior``: how many documents of its language count in a group, and of the corpus in
+    a language, beside its own.
     """
 
     spread: int = 6
     slack: tuple[tuple[str, int], ...] = (("symbols", 100), ("shouts", 100), ("repeats", 350), ("dup_lines", 100), ("length", 2000))
-    least: int = 50
+    prior: int = 50
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -99,15 +102,26 @@ def quantiles(histogram: DataFrame, groups: list[str], at: dict[str, int]) -> Da
     return df.groupBy(*groups, "metric").agg(F.max("size").alias("size"), *picks)
 
 
-def limits(histogram: DataFrame, groups: list[str], rule: Limits) -> DataFrame:
-    """One row per group: ``size``, ``hi_<metric>`` for each metric, and ``lo_length``."""
-    q = quantiles(histogram, groups, {"q25": 25, "q50": 50, "q75": 75})
+def drawn(own: DataFrame, wider: DataFrame, groups: list[str], prior: int) -> DataFrame:
+    """The quartiles of ``own`` (groups, metric, size, q25, q50, q75) drawn towards those of ``wider``, which has fewer of
+    the group columns: the mean of both, weighted by the group's size and ``prior``, rounded down."""
+    shared = [c for c in groups if c in wider.columns]
+    same = F.col("metric") == F.col("_metric")
+    for c in shared:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    wider = wider.select(*[F.col(c).alias(f"_{c}") for c in [*shared, "metric", "q25", "q50", "q75"]])
+    mean = [F.expr(f"(size * {q} + {prior} * _{q}) div (size + {prior})").alias(q) for q in ("q25", "q50", "q75")]
+    return own.join(wider, same).select(*groups, "metric", "size", *mean)
+
+
+def limits(q: DataFrame, groups: list[str], rule: Limits) -> DataFrame:
+    """One row per group from its quartiles: ``hi_<metric>`` for each metric, and ``lo_length``."""
     slack = F.create_map(*[F.lit(x) for pair in rule.slack for x in pair])[F.col("metric")]
     hi = F.col("q50") + rule.spread * (F.col("q75") - F.col("q50")) + slack
     lo = F.col("q50") - rule.spread * (F.col("q50") - F.col("q25")) - slack
     one = lambda name, value: F.max(F.when(F.col("metric") == name, value))
     columns = [one(k, hi).alias(f"hi_{k}") for k, _ in rule.slack] + [one("length", lo).alias("lo_length")]
-    return q.groupBy(*groups).agg(F.max("size").alias("size"), *columns)
+    return q.groupBy(*groups).agg(*columns)
 
 
 def judge(measures: DataFrame, rule: Limits = Limits()) -> DataFrame:
@@ -118,13 +132,11 @@ def judge(measures: DataFrame, rule: Limits = Limits()) -> DataFrame:
     names = [f"hi_{k}" for k, _ in rule.slack] + ["lo_length"]
     fine = measures.filter(~F.col("base_failed"))
     by_source = cut(sketch(fine, ["lang", "source"], _rates()))
-    own = limits(by_source, ["lang", "source"], rule)
-    language = limits(merge(by_source, ["lang"]), ["lang"], rule)
-    own = own.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "size", *names)
-    language = language.select(F.col("lang").alias("_l"), F.col("size").alias("_size"), *[F.col(n).alias(f"_{n}") for n in names])
-    table = own.join(language, F.col("_lang").eqNullSafe(F.col("_l")), "left")
-    enough, some = F.col("size") >= rule.least, F.col("_size") >= rule.least
-    table = table.select("_lang", "_source", *[F.when(enough, F.col(n)).when(some, F.col(f"_{n}")).alias(n) for n in names])
+    by_language = cut(merge(by_source, ["lang"]))
+    at = {"q25": 25, "q50": 50, "q75": 75}
+    language = drawn(quantiles(by_language, ["lang"], at), quantiles(merge(by_language, []), [], at), ["lang"], rule.prior)
+    own = drawn(quantiles(by_source, ["lang", "source"], at), language, ["lang", "source"], rule.prior)
+    table = limits(own, ["lang", "source"], rule).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *names)
     df = measures.join(table, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     rates = _rates()
     bad = F.lit(False)
@@ -137,7 +149,7 @@ def judge(measures: DataFrame, rule: Limits = Limits()) -> DataFrame:
 def assess(docs: DataFrame, rule: Limits = Limits()) -> DataFrame:
     """Per document (doc_id, lang, source, base counts, n_shouts, base_failed, kept); other columns go.
 
-    Empty and null texts fail the base rules. Rows repeated in full come out alike.
+    Empty and null texts fail the base rules. Rows repeated in full come out alike. No documents, no rows.
     """
     slim = measured(docs.select("doc_id", "text", "lang", "source")).withColumn("_key", F.xxhash64("text")).drop("text")
     return judge(cut(slim), rule)

@@ -38,13 +38,15 @@ def _quality_sql() -> str:
     )
 
     def level(groups: str) -> str:
+        by = f"{groups}, " if groups else ""
         return f"""
-        SELECT {groups}, metric, max(size) AS size,
+        SELECT {by}metric, max(size) AS size,
             min(bucket) FILTER (upto * 100 >= size * 25) AS q25, min(bucket) FILTER (upto * 100 >= size * 50) AS q50,
             min(bucket) FILTER (upto * 100 >= size * 75) AS q75, any_value(slack) AS slack
-        FROM (SELECT *, sum(n) OVER (PARTITION BY {groups}, metric) AS size, sum(n) OVER (PARTITION BY {groups}, metric ORDER BY bucket) AS upto
-              FROM (SELECT {groups}, metric, bucket, slack, count(*) AS n FROM metrics GROUP BY ALL)) GROUP BY {groups}, metric"""
+        FROM (SELECT *, sum(n) OVER (PARTITION BY {by}metric) AS size, sum(n) OVER (PARTITION BY {by}metric ORDER BY bucket) AS upto
+              FROM (SELECT {by}metric, bucket, slack, count(*) AS n FROM metrics GROUP BY ALL)) GROUP BY {by}metric"""
 
+    quartiles = ", ".join(f"(o.size * o.{q} + 50 * e.{q}) // (o.size + 50) AS {q}" for q in ("q25", "q50", "q75"))
     tests = " OR ".join(
         f"coalesce({_bucket_sql(f'(b.{c} * 1000 // greatest(b.n_words, 1))')} > (SELECT hi FROM fences f WHERE f.lang IS NOT DISTINCT FROM b.lang AND f.source IS NOT DISTINCT FROM b.source AND f.metric = '{k}'), false)"
         for k, c, _ in RATES_SQL
@@ -64,12 +66,12 @@ def _quality_sql() -> str:
             len(ws) < 50 OR 100 * coalesce(rep.n, 0) > 50 * len(ws) AS base_failed
         FROM w LEFT JOIN rep ON w.r = rep.r),
     metrics AS ({metrics}),
-    own AS ({level("lang, source")}), every AS ({level("lang")}),
-    fences AS (
-        SELECT o.lang, o.source, o.metric,
-            CASE WHEN o.size >= 50 THEN o.q50 + 6 * (o.q75 - o.q50) + o.slack WHEN e.size >= 50 THEN e.q50 + 6 * (e.q75 - e.q50) + e.slack END AS hi,
-            CASE WHEN o.size >= 50 THEN o.q50 - 6 * (o.q50 - o.q25) - o.slack WHEN e.size >= 50 THEN e.q50 - 6 * (e.q50 - e.q25) - e.slack END AS lo
-        FROM own o JOIN every e ON o.lang IS NOT DISTINCT FROM e.lang AND o.metric = e.metric)
+    own AS ({level("lang, source")}), every AS ({level("lang")}), whole AS ({level("")}),
+    language AS (SELECT o.lang, o.metric, {quartiles} FROM every o JOIN whole e ON o.metric = e.metric),
+    drawn AS (
+        SELECT o.lang, o.source, o.metric, o.slack, {quartiles}
+        FROM own o JOIN language e ON o.lang IS NOT DISTINCT FROM e.lang AND o.metric = e.metric),
+    fences AS (SELECT lang, source, metric, q50 + 6 * (q75 - q50) + slack AS hi, q50 - 6 * (q50 - q25) - slack AS lo FROM drawn)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({tests}) AS kept
     FROM base b"""
 

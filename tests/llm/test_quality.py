@@ -36,24 +36,26 @@ def slow(docs, rule=Q.Limits()):
         rate = None if failed else {"symbols": base[2], "shouts": shouts, "repeats": base[4], "dup_lines": base[3], "length": base[1]}
         rows.append((doc_id, base, failed, lang, source, rate and {k: low(v * 1000 // base[0]) for k, v in rate.items()}))
 
-    def fences(match):
+    def quartiles(match, wider=None):
         own = [r[5] for r in rows if r[5] and match(r)]
-        if len(own) < rule.least:
-            return None
         out = {}
-        for k, slack in rule.slack:
+        for k, _ in rule.slack:
             values = sorted(r[k] for r in own)
             q = {p: values[-(-len(values) * p // 100) - 1] for p in (25, 50, 75)}
-            out[k] = (q[50] - rule.spread * (q[50] - q[25]) - slack, q[50] + rule.spread * (q[75] - q[50]) + slack)
+            out[k] = q if wider is None else {p: (len(own) * q[p] + rule.prior * wider[k][p]) // (len(own) + rule.prior) for p in q}
         return out
 
+    def fences(r):
+        q = quartiles(lambda x: x[3:5] == r[3:5], quartiles(lambda x: x[3] == r[3], quartiles(lambda x: True)))
+        return {k: (q[k][50] - rule.spread * (q[k][50] - q[k][25]) - slack, q[k][50] + rule.spread * (q[k][75] - q[k][50]) + slack) for k, slack in rule.slack}
+
     kept = []
     for r in rows:
         if r[2]:
             kept.append(False)
             continue
-        f = fences(lambda x: x[3:5] == r[3:5]) or fences(lambda x: x[3] == r[3])
-        kept.append(f is None or all(r[5][k] <= f[k][1] for k in f) and r[5]["length"] >= f["length"][0])
+        f = fences(r)
+        kept.append(all(r[5][k] <= f[k][1] for k in f) and r[5]["length"] >= f["length"][0])
     return [(r[0], *r[1], r[2], k) for r, k in zip(rows, kept)]
 
 
@@ -91,6 +93,18 @@ def test_against_brute_force(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(w[0]) for w in want if w[-1])
 
 
+def test_every_size_has_limits_of_its_own(spark):
+    """Sources of one and of many documents, in a language of few: no size below which nothing is judged."""
+    draw = random.Random(8)
+    plain = lambda n: " ".join(draw.choices(["word", "other", "letters", "paper", "river", "stone"], k=n)) + f" {draw.random()}"
+    docs = [(i, " ".join(f"w{draw.randrange(9999)}" for _ in range(90)), "en", "web") for i in range(120)]
+    docs += [(500 + i, " ".join(f"w{draw.randrange(9999)} {'#' if j % 3 else ''}" for j in range(90)), "en", "code") for i in range(80)]
+    docs += [(700, plain(2) + " " + " ".join(f"x{i}##" for i in range(70)), "qq", "rare"), (701, " ".join(f"y{i}" for i in range(70)), "qq", "rare")]
+    got = {r.doc_id: r.kept for r in Q.assess(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert got == {w[0]: w[-1] for w in slow(docs)}
+    assert all(got[500 + i] for i in range(80))  # symbols are usual in this source
+
+
 def test_sketches_merge(spark):
     frame = spark.range(1000).select(F.lit("en").alias("lang"), (F.col("id") % 3).alias("source"), (F.col("id") * F.col("id")).alias("v"))
     parts = Q.sketch(frame, ["lang", "source"], {"v": F.col("v")})
