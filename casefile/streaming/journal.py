@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
@@ -157,21 +157,90 @@ def review_changes(baseline: DataFrame, events: DataFrame, keys: list[str]) -> D
     )
 
 
-def review_change_stream(events: DataFrame, baseline: DataFrame, keys: list[str], folder: str, checkpoint: str):
-    """Applies review edits as they arrive; the state is a table, one version per micro-batch.
+REVIEWED = "evidence_id string, source_sha256 string, repeat_decision string, confirmed boolean, confirmed_at long, step long"
 
-    Revocation crosses candidates, so each batch is applied with the batch job above and
-    written as the next version under ``folder`` (a shared folder). A repeated batch
-    overwrites its own version and reads the one before it, so replays are harmless.
+
+class CandidateKeeper(StatefulProcessor):
+    """What one candidate holds and its own confirmation; each edit gives a row of the log."""
+
+    def __init__(self, keys: list[str]) -> None:
+        self.columns = [*keys, "candidate_id", "at", *[c.split()[0] for c in REVIEWED.split(", ")], "revoked"]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", REVIEWED)
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        first = initialState.iloc[0]
+        confirmed = None if pd.isna(first["confirmed"]) else bool(first["confirmed"])
+        self.held.update((*[_text(first[c]) for c in ("evidence_id", "source_sha256", "repeat_decision")], confirmed, 0, 0))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        if not self.held.exists():
+            return  # edits of unknown candidates change nothing
+        evidence, sha256, decision, confirmed, confirmed_at, step = self.held.get()
+        out = []
+        for row in pd.concat(list(rows)).sort_values("at").itertuples(index=False):
+            at, revoked = int(row.at), []
+            if row.action == "confirm":
+                confirmed, confirmed_at = True, at
+            elif row.action == "pages":
+                confirmed = False
+            elif row.action == "source":
+                chosen, content = _text(row.new_evidence), _text(row.new_sha256)
+                if chosen != evidence:
+                    revoked = sorted({sha256, content} - {None})
+                evidence, sha256, confirmed = chosen, content, False
+            elif row.action == "repeat":
+                confirmed = confirmed if _text(row.new_decision) == decision else False
+                decision = _text(row.new_decision)
+            step += 1
+            out.append((*key, at, evidence, sha256, decision, confirmed, confirmed_at, step, revoked))
+        self.held.update((evidence, sha256, decision, confirmed, confirmed_at, step))
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def _text(value: Any) -> str | None:
+    return None if value is None or value != value else str(value)
+
+
+def review_change_stream(events: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
+    """Streaming twin of ``review_changes``: a log with one row per edit of a known candidate, to be appended to a table.
+
+    A row has what the candidate holds after the edit, its own confirmation and when it was given, and the contents whose
+    holders the edit revokes. ``review_state`` reads the log. Revocation crosses candidates, yet no edit touches the state
+    of another one: holders are not visited, and the state written grows with the edited candidates, not with the matter.
+    So the key is the candidate, and a matter of any size spreads. Needs the RocksDB state store.
+
+    Edits of a candidate within a micro-batch are applied by ``at``; across micro-batches as they arrive. ``at`` alone
+    decides between a confirmation of one candidate and a revocation by another.
     """
-    spark = baseline.sparkSession
-    baseline.write.mode("overwrite").parquet(f"{folder}/version=-1")
+    on = [*keys, "candidate_id"]
+    types = dict(events.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in on), "at long", REVIEWED, "revoked array<string>"])
+    start = baseline.select(*on, "evidence_id", "source_sha256", "repeat_decision", "confirmed")
+    return events.groupBy(*on).transformWithStateInPandas(
+        statefulProcessor=CandidateKeeper(keys), outputStructType=schema, outputMode="Append", timeMode="None", initialState=start.groupBy(*on)
+    )
+
 
-    def apply(batch: DataFrame, number: int) -> None:
-        state = spark.read.parquet(f"{folder}/version={number - 1}")
-        review_changes(state, batch, keys).write.mode("overwrite").parquet(f"{folder}/version={number}")
+def review_state(baseline: DataFrame, log: DataFrame, keys: list[str]) -> DataFrame:
+    """State of every candidate, in the columns of ``review_changes``, after the edits of a ``review_change_stream`` log.
 
-    return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    A confirmation holds if no revocation of the content held came after it. Revocations of a content are a partial
+    aggregate, so a content that very many candidates hold is no hot key.
+    """
+    on = [*keys, "candidate_id"]
+    held = ["evidence_id", "source_sha256", "repeat_decision", "confirmed"]
+    last = log.groupBy(*on).agg(F.max_by(F.struct(*held, "confirmed_at"), "step").alias("_last"))
+    revoked = log.select(*keys, "at", F.explode("revoked").alias("source_sha256")).groupBy(*keys, "source_sha256").agg(F.max("at").alias("_revoked_at"))
+    rows = baseline.join(last, on, "left")
+    now = [F.when(F.col("_last").isNotNull(), F.col(f"_last.{c}")).otherwise(F.col(c)).alias(c) for c in held]
+    rows = rows.select(*on, *now, F.coalesce("_last.confirmed_at", F.lit(0)).alias("_confirmed_at")).join(revoked, [*keys, "source_sha256"], "left")
+    confirmed = F.when(F.col("_revoked_at") > F.col("_confirmed_at"), False).otherwise(F.col("confirmed"))
+    return rows.select(*on, "evidence_id", "source_sha256", "repeat_decision", confirmed.alias("confirmed"))
 
 
 # Fields and limits of a journal payload.

@@ -441,13 +441,52 @@ def test_review_change_stream(spark, tmp_path):
     df = spark.createDataFrame(events, event)
     expected = [("a", "e2", False), ("b", "e2", True), ("c", "e3", True), ("d", "e2", False)]
     assert rows(journal.review_changes(base, df, K), "candidate_id", "evidence_id", "confirmed") == expected
-    source = str(tmp_path / "in")
-    df.coalesce(1).write.parquet(source)
-    writer = journal.review_change_stream(spark.readStream.schema(event).parquet(source), base, K, str(tmp_path / "state"), str(tmp_path / "c"))
-    query = writer.trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert query.exception() is None
-    assert rows(spark.read.parquet(str(tmp_path / "state/version=0")), "candidate_id", "evidence_id", "confirmed") == expected
+    got, _ = streamed_reviews(spark, tmp_path, base, [df])
+    assert rows(got, "candidate_id", "evidence_id", "confirmed") == expected
+
+
+def streamed_reviews(spark, tmp_path, base, batches):
+    """State after the edits of ``batches``, one micro-batch each, and the log; the stream is stopped and resumed between them."""
+    source, log, events = str(tmp_path / "in"), str(tmp_path / "log"), batches[0].schema
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", journal.STATE_STORE)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        for batch in batches:
+            batch.coalesce(1).write.mode("append").parquet(source)
+            stream = journal.review_change_stream(spark.readStream.schema(events).parquet(source), base, K)
+            query = stream.writeStream.format("parquet").option("path", log).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+            query.awaitTermination(120)
+            assert query.exception() is None
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    found = spark.read.parquet(log)
+    return journal.review_state(base, found, K), found
+
+
+def test_review_change_stream_equals_batch(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    pick = lambda values: values[int(rng.integers(0, len(values)))]
+    contents = {"e1": "h1", "e2": "h2", "e3": "h2", "e4": "h3", None: None}
+    start = []
+    for m in (1, 2):
+        for c in range(9):
+            e = pick(list(contents))
+            start.append((m, f"c{c}", e, contents[e], pick([None, "same"]), pick([True, True, False, None])))
+    base = spark.createDataFrame(start, "m long, candidate_id string, evidence_id string, source_sha256 string, repeat_decision string, confirmed boolean")
+    events = []
+    for at in range(1, 121):
+        action = pick(["source", "confirm", "confirm", "repeat", "pages", "label"])
+        e = pick(list(contents)) if action == "source" else None
+        decision = pick([None, "same", "other"]) if action == "repeat" else None
+        events.append((int(rng.integers(1, 4)), f"c{int(rng.integers(0, 10))}", at, action, e, contents[e], decision))  # some are of unknown candidates
+    df = spark.createDataFrame(events, "m long, candidate_id string, at long, action string, new_evidence string, new_sha256 string, new_decision string")
+    expected = rows(journal.review_changes(base, df, K), *base.columns)
+    got, log = streamed_reviews(spark, tmp_path, base, [df.filter("at <= 50"), df.filter("at > 50 AND at <= 90"), df.filter("at > 90")])
+    assert rows(got, *base.columns) == expected
+    known = {r[:2] for r in start}
+    assert log.count() == sum(e[:2] in known for e in events)  # a row per edit, none for siblings
+    assert {r[-1] for r in expected} >= {True, False}
 
 
 def test_nested_messages_keep_deep_ones(spark):
