@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casefile.functions.patterns import END, START
-from casefile.operators import attachments, changes, matter, sheets
+from casefile.operators import attachments, changes, digests, matter, sheets
 from casefile.plans.catalog import query
 from casefile.plans.sql import with_views
 from casefile.session import cut_lineage
@@ -488,3 +488,69 @@ def restore_reviews(spark: SparkSession, folder: str) -> DataFrame:
     )
     rendered = orders.filter(k % 3 != 0).select(matter_id, F.concat(F.lit("r"), k.cast("string")).alias("source_id"), F.lit("r").alias("sha256"))
     return changes.restore_reviews(templates, reviews, rendered, KEYS)
+
+
+# two builds with places, headings and a note that no category names
+_PLACE = "CAST(substr(exhibit_id, 2) AS BIGINT)"
+_FULL = [
+    ("fp", f"SELECT *, {_PLACE} AS position, concat('S', {_PLACE} % 3) AS section, '' AS note FROM v_snapshot_prev"),
+    ("fc", (
+        f"SELECT *, {_PLACE} + CASE WHEN matter_id % 3 = 0 AND {_PLACE} % 2 = 0 THEN 1 ELSE 0 END AS position, "
+        f"concat('S', {_PLACE} % CASE WHEN matter_id % 2 = 0 THEN 4 ELSE 3 END) AS section, CASE WHEN matter_id % 5 = 1 THEN 'seen' ELSE '' END AS note FROM v_snapshot_cur")),
+    ("fj", (
+        "SELECT coalesce(p.matter_id, c.matter_id) AS matter_id, coalesce(p.exhibit_id, c.exhibit_id) AS exhibit_id, p.exhibit_id IS NOT NULL AS ip, c.exhibit_id IS NOT NULL AS ic, "
+        + ", ".join(f"p.{c} IS DISTINCT FROM c.{c} AS d_{c}" for c in ("source_sha256", "page_start", "description", "date_text", "confirmed", "position", "section", "note"))
+        + " FROM fp p FULL JOIN fc c ON c.matter_id = p.matter_id AND c.exhibit_id = p.exhibit_id")),
+]
+_ANY = "d_source_sha256 OR d_page_start OR d_description OR d_date_text OR d_confirmed OR d_position OR d_section OR d_note"
+
+
+def _builds(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    place = F.substring("exhibit_id", 2, 20).cast("long")
+    prev, cur = views.snapshot_prev(spark, folder), views.snapshot_cur(spark, folder)
+    heading = lambda n: F.concat(F.lit("S"), (place % n).cast("string"))
+    prev = prev.withColumns({"position": place, "section": heading(3), "note": F.lit("")})
+    moved = F.when((F.col("matter_id") % 3 == 0) & (place % 2 == 0), 1).otherwise(0)
+    section = F.when(F.col("matter_id") % 2 == 0, heading(4)).otherwise(heading(3))
+    return prev, cur.withColumns({"position": place + moved, "section": section, "note": F.when(F.col("matter_id") % 5 == 1, "seen").otherwise("")})
+
+
+@query(
+    sql=with_views(
+        _SNAP, *_FULL,
+        ("a", "SELECT matter_id, count(*) FILTER (ip) AS np, count(*) FILTER (ic) AS nc, " + ", ".join(f"bool_or(d_{c}) AS d_{c}" for c in ("source_sha256", "page_start", "description", "date_text", "confirmed", "position", "section")) + f", bool_or({_ANY}) AS other FROM fj GROUP BY 1"),
+        ("n", (
+            "SELECT matter_id, CASE WHEN np = 0 THEN 'This is the first version of this bundle.' ELSE concat_ws('; ', CASE WHEN d_position THEN 'Order changed' END, CASE WHEN d_section AND NOT d_position THEN 'Index sections changed' END, "
+            "CASE WHEN d_source_sha256 THEN 'Source replaced or hash changed' END, CASE WHEN d_page_start THEN 'Selected source page range changed' END, CASE WHEN d_description THEN 'Index description changed' END, "
+            "CASE WHEN d_date_text THEN 'Document date changed' END, CASE WHEN d_confirmed OR np <> nc THEN 'Included exhibit decisions changed' END) END AS c, np, other FROM a")),
+        ("m", "SELECT matter_id, CASE WHEN c = '' AND other THEN 'Substantive build inputs changed' ELSE c END AS c, np FROM n"),
+        select="SELECT matter_id, c <> '' AS changed, c AS categories, CASE WHEN np = 0 THEN 'Bundle created.' WHEN c = '' THEN 'No substantive change' ELSE c END AS summary FROM m",
+    )
+)
+def compare_ordered_builds(spark: SparkSession, folder: str) -> DataFrame:
+    prev, cur = _builds(spark, folder)
+    prints = digests.root_pairs(digests.digest_tree(prev, KEYS, "exhibit_id"), digests.digest_tree(cur, KEYS, "exhibit_id"), KEYS)
+    return changes.compare_builds(prev, cur, KEYS, fingerprints=prints)
+
+
+_CANONICAL = "concat('{\"confirmed\":', confirmed, ',\"date_text\":\"', date_text, '\",\"description\":\"', description, '\",\"exhibit_id\":\"', exhibit_id, '\",\"note\":\"', note, '\",\"page_start\":', page_start, ',\"position\":', position, ',\"section\":\"', section, '\",\"source_sha256\":\"', source_sha256, '\"}')"
+
+
+@query(
+    sql=with_views(
+        ["v_snapshot_cur"], _FULL[1],
+        ("d", f"SELECT matter_id, sha256(exhibit_id) AS p, sha256({_CANONICAL}) AS d FROM fc"),
+        ("l2", "SELECT matter_id, substr(p, 1, 4) AS path, count(*) AS rows, sha256(string_agg(d, ',' ORDER BY d)) AS digest FROM d GROUP BY ALL"),
+        ("l1", "SELECT matter_id, substr(path, 1, 2) AS path, sum(rows) AS rows, sha256(string_agg(concat(path, ':', digest), ',' ORDER BY path)) AS digest FROM l2 GROUP BY matter_id, substr(path, 1, 2)"),
+        select="SELECT matter_id, CAST(sum(rows) AS BIGINT) AS rows, sha256(string_agg(concat(path, ':', digest), ',' ORDER BY path)) AS digest FROM l1 GROUP BY matter_id",
+    )
+)
+def build_digest(spark: SparkSession, folder: str) -> DataFrame:
+    return digests.roots(digests.digest_tree(_builds(spark, folder)[1], KEYS, "exhibit_id"), KEYS)
+
+
+@query(sql=with_views(_SNAP, *_FULL, select=f"SELECT matter_id, exhibit_id, CASE WHEN NOT ip THEN 'added' WHEN NOT ic THEN 'removed' ELSE 'changed' END AS change FROM fj WHERE {_ANY}"))
+def build_changes(spark: SparkSession, folder: str) -> DataFrame:
+    prev, cur = _builds(spark, folder)
+    trees = [cut_lineage(digests.digest_tree(rows, KEYS, "exhibit_id")) for rows in (prev, cur)]
+    return digests.changed_rows(prev, cur, KEYS, "exhibit_id", *trees)
