@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from casefile.functions import text as T
 from casefile.functions.ordered import chunk_of, number_rows, running_sum
 from casefile.session import cut_lineage
+from casefile.sources.files import listed, with_digests
 
 MIB = 1024 * 1024
 # Size limits by extension, archive and attachment limits.
@@ -22,11 +23,18 @@ def extension_of(name: Column | str) -> Column:
     return F.lower(F.substring_index(F.col(name) if isinstance(name, str) else name, ".", -1))
 
 
-def read_sources(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Files of a folder as sources: name, extension, bytes, sha256 of the content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+def read_sources(spark: SparkSession, path: str, recursive: bool = True, admitted: bool = False) -> DataFrame:
+    """Files of a folder as sources: path, name, extension, bytes, sha256 of the content.
+
+    The folder is listed without opening a file. Contents are digested in pieces, so a file may be of any size. With
+    ``admitted`` the rules of ``admit_files`` come before reading: temporary names are dropped, ``reject_reason`` is
+    added, and rejected files, which are not opened, have a null digest.
+    """
     name = F.substring_index("path", "/", -1)
-    return files.select("path", name.alias("name"), extension_of(name).alias("extension"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    files = listed(spark, path, recursive).select("path", name.alias("name"), extension_of(name).alias("extension"), "bytes")
+    if not admitted:
+        return with_digests(files)
+    return with_digests(admit_files(files, []), "reject_reason IS NULL")
 
 
 def admit_files(manifest: DataFrame, keys: list[str], max_per_matter: int | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from casefile.functions.patterns import END, START
 from casefile.operators import attachments, changes, digests, matter, sheets
 from casefile.plans.catalog import query
 from casefile.plans.sql import with_views
-from casefile.session import cut_lineage
-from casefile.sources import views
+from casefile.session import checkpoint_folder, cut_lineage
+from casefile.sources import files, views
 
 KEYS = ["matter_id"]
 
@@ -554,3 +556,23 @@ def build_changes(spark: SparkSession, folder: str) -> DataFrame:
     prev, cur = _builds(spark, folder)
     trees = [cut_lineage(digests.digest_tree(rows, KEYS, "exhibit_id")) for rows in (prev, cur)]
     return digests.changed_rows(prev, cur, KEYS, "exhibit_id", *trees)
+
+
+_PAGE_NAME = "concat(CASE WHEN page_id % 10 = 3 THEN '~$' ELSE '' END, 'page ', page_id, CASE page_id % 4 WHEN 0 THEN '.html' WHEN 1 THEN '.old.HTM' WHEN 2 THEN '' ELSE '.txt' END)"
+
+
+@query(
+    sql=with_views(
+        [],
+        ("f", f"SELECT {_PAGE_NAME} AS name, coalesce(html, '') AS content, page_id FROM pages"),
+        select=(
+            "SELECT name, lower(regexp_extract(name, '[^.]*$')) AS extension, strlen(content)::BIGINT AS bytes, CASE WHEN content = '' THEN 'empty' WHEN strlen(content) > 26214400 THEN 'too large' END AS reject_reason, "
+            "CASE WHEN strlen(content) BETWEEN 1 AND 26214400 THEN sha256(content) END AS sha256 FROM f WHERE page_id % 10 <> 3"),
+    )
+)
+def source_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages saved as files, then read as sources."""
+    into = f"{checkpoint_folder(spark)}/sources-{uuid4().hex}"
+    pages = views.table(spark, folder, "pages").select(F.expr(_PAGE_NAME).alias("name"), F.col("html").alias("content"))
+    files.write_files(pages, into)
+    return attachments.read_sources(spark, into, admitted=True).select("name", "extension", "bytes", "reject_reason", "sha256")

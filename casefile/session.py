@@ -26,14 +26,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder the session names.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the session names, set as its checkpoint folder.
 
     ``spark.checkpoint.dir`` wins. A local session (tests) that names no folder gets a
     private temporary one; a cluster session without a folder is an error, because a
     machine-local folder would not survive the loss of an executor.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -42,4 +41,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             shared = tempfile.mkdtemp(prefix="casefile-checkpoint-")
         sc.setCheckpointDir(shared)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into ``checkpoint_folder``."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
