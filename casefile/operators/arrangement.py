@@ -284,6 +284,55 @@ def edit_arrangement(nodes: DataFrame, edits: DataFrame, keys: list[str]) -> tup
     return renumber(changed.unionByName(added).unionByName(emptied), keys), refused
 
 
+def add_sections(nodes: DataFrame, sections: DataFrame, members: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Puts a new section around several exhibits of each matter; returns the arrangement and the refused sections.
+
+    ``sections``: keys, section_id, heading, index (0-based, after the exhibits are taken out), one a matter. ``members``:
+    keys, exhibit_id; none makes an empty section. Exhibits keep the order they have; a section that loses all of its own
+    stays, as an empty one. A refused section leaves its matter as it is.
+    """
+    place = [*keys, "exhibit_id"]
+    chosen = members.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"))
+    present = nodes.filter("exhibit_id IS NOT NULL").select(*place, F.lit(True).alias("_present")).distinct()
+    faults = chosen.join(present, place, "left").groupBy(*keys).agg(F.max("_n").alias("_most"), F.count_if(F.col("_present").isNull()).alias("_absent"))
+    rows = nodes.join(chosen, place, "left").withColumn("_chosen", F.col("_n").isNotNull()).drop("_n")
+    alone = F.col("section_id").isNull()
+    room = rows.filter(~(F.col("_chosen") & alone)).select(*keys, "pos").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_room"))
+    taken = nodes.filter("section_id IS NOT NULL").select(*keys, "section_id", F.lit(True).alias("_taken")).distinct()
+    e = sections.select(*keys, "section_id", "heading", F.col("index").cast("long").alias("index"))
+    e = e.join(taken, [*keys, "section_id"], "left").join(faults, keys, "left").join(room, keys, "left")
+    named = (F.col("section_id") != "") & (F.length("section_id") <= MAX_ID) & (F.trim("heading") != "") & (F.length("heading") <= MAX_HEADING)
+    issue = (
+        F.when(~F.coalesce(named, F.lit(False)), "section id or heading is invalid")
+        .when(~F.coalesce(F.col("index") >= 0, F.lit(False)), "index is invalid")
+        .when(F.col("_taken"), "section already exists")
+        .when(F.col("_most") > 1, "exhibit is selected more than once")
+        .when(F.col("_absent") > 0, "exhibit is not present")
+        .when(F.col("index") > F.coalesce("_room", F.lit(0)), "index is outside")
+    )
+    e = e.withColumn("issue", issue)
+    good = e.filter("issue IS NULL").select(*keys, F.col("section_id").alias("_new"), F.col("heading").alias("_name"), (F.col("index") - 0.5).alias("_at"))
+    rows = rows.join(good, keys, "left").withColumn("_moved", F.col("_chosen") & F.col("_new").isNotNull())
+    tops = rows.filter(~(F.col("_moved") & alone)).select(*keys, "pos").distinct().withColumn("_chunk", chunk_of("pos"))
+    tops = number_rows(tops, keys, ["pos"], "_rank", ["_chunk"]).select(*keys, "pos", (F.col("_rank") - 1).cast("double").alias("_top"))
+    nothing = F.lit(None).cast("string")
+
+    def shape(df: DataFrame, exhibit: Column, top: str, inner: Column, deeper: Column, section: str, heading: str) -> DataFrame:
+        return df.select(
+            *keys, exhibit.alias("exhibit_id"), F.lit(0).alias("_phase"), F.col(top).cast("double").alias("_top"), inner.cast("double").alias("_inner"),
+            deeper.cast("long").alias("_deeper"), F.col(section).alias("section_id"), F.col(heading).alias("heading"),
+        )
+
+    zero, inner = F.lit(0), F.coalesce("inner_pos", F.lit(0))
+    stay = shape(rows.filter(~F.col("_moved")).join(tops, [*keys, "pos"]), F.col("exhibit_id"), "_top", inner, zero, "section_id", "heading")
+    inside = shape(rows.filter("_moved"), F.col("exhibit_id"), "_at", F.col("pos"), inner, "_new", "_name")
+    bare = shape(good.join(members.select(*keys).distinct(), keys, "left_anti"), nothing, "_at", zero, zero, "_new", "_name")
+    lost = rows.filter("section_id IS NOT NULL").groupBy(*keys, "pos", "section_id").agg(F.min("heading").alias("heading"), F.min("_moved").alias("_all"))
+    lost = shape(lost.filter("_all").join(tops, [*keys, "pos"]), nothing, "_top", zero, zero, "section_id", "heading")
+    placed = renumber(stay.unionByName(inside).unionByName(bare).unionByName(lost), keys)
+    return placed, e.filter("issue IS NOT NULL").select(*keys, "section_id", "issue")
+
+
 def reorder_for_drop(items: DataFrame, drops: DataFrame, keys: list[str]) -> DataFrame:
     """One drag per matter in a flat list: moving down lands behind the target, moving up before it."""
     at = items.select(*keys, F.col("item_id").alias("moved_id"), F.col("position").alias("_from"))

@@ -170,6 +170,51 @@ def refused_edits(spark: SparkSession, folder: str) -> DataFrame:
     return refused
 
 
+# a section around every third top-level node and the second exhibit of each section; some cannot be
+_CHOSEN = "exhibit_id IS NOT NULL AND (pos % 3 = 1 OR coalesce(inner_pos = 2, false))"
+_SECTION_STEPS = [
+    ("k0", f"SELECT *, {_CHOSEN} AS chosen FROM v_nodes"),
+    ("room", "SELECT matter_id, count(DISTINCT CASE WHEN NOT (chosen AND section_id IS NULL) THEN pos END) AS n, coalesce(bool_or(section_id = 's1'), false) AS s1, bool_or(chosen) AS any_chosen FROM k0 GROUP BY 1"),
+    ("verdict", (
+        "SELECT matter_id, any_chosen, CASE WHEN matter_id % 7 = 2 THEN 's1' ELSE 'fresh' END AS sid, CASE matter_id % 7 WHEN 3 THEN 'section id or heading is invalid' WHEN 4 THEN 'index is invalid' ELSE "
+        "CASE WHEN matter_id % 7 = 2 AND s1 THEN 'section already exists' WHEN matter_id % 7 = 0 AND any_chosen THEN 'exhibit is selected more than once' WHEN matter_id % 7 = 1 THEN 'exhibit is not present' WHEN matter_id % 4 > n THEN 'index is outside' END END AS issue FROM room")),
+    ("k", "SELECT k0.*, chosen AND issue IS NULL AS moved, sid FROM k0 JOIN verdict USING (matter_id)"),
+    ("rem", "SELECT *, dense_rank() OVER (PARTITION BY matter_id ORDER BY pos) - 1 AS t FROM k WHERE NOT (moved AND section_id IS NULL)"),
+    ("placed", (
+        "SELECT matter_id, CAST(t AS DOUBLE) AS t, section_id, heading, coalesce(inner_pos, 0) AS i, 0 AS j, exhibit_id FROM rem WHERE NOT moved "
+        "UNION ALL SELECT matter_id, matter_id % 4 - 0.5, sid, 'Fresh', pos, coalesce(inner_pos, 0), exhibit_id FROM k WHERE moved "
+        "UNION ALL SELECT matter_id, t, section_id, heading, 0, 0, NULL FROM rem GROUP BY matter_id, t, section_id, heading HAVING bool_and(moved) "
+        "UNION ALL SELECT matter_id, matter_id % 4 - 0.5, sid, 'Fresh', 0, 0, NULL FROM verdict WHERE issue IS NULL AND NOT any_chosen")),
+]
+
+
+def _sections(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    rows = nodes(spark, folder)
+    key = F.col("matter_id")
+    sections = rows.select("matter_id").distinct().select(
+        "matter_id", F.when(key % 7 == 2, "s1").otherwise("fresh").alias("section_id"), F.when(key % 7 == 3, " ").otherwise("Fresh").alias("heading"),
+        F.when(key % 7 == 4, -1).otherwise(key % 4).alias("index"),
+    )
+    chosen = rows.filter(_CHOSEN).select("matter_id", "exhibit_id")
+    missing = sections.filter(key % 7 == 1).select("matter_id", F.lit("missing").alias("exhibit_id"))
+    return arrangement.add_sections(rows, sections, chosen.union(chosen.filter(key % 7 == 0)).union(missing), KEYS)
+
+
+@query(
+    sql=with_views(
+        _NODES, *_SECTION_STEPS,
+        select="SELECT matter_id, dense_rank() OVER (PARTITION BY matter_id ORDER BY t) AS pos, section_id, heading, CASE WHEN section_id IS NOT NULL AND exhibit_id IS NOT NULL THEN row_number() OVER (PARTITION BY matter_id, t ORDER BY i, j) END AS inner_pos, exhibit_id FROM placed",
+    )
+)
+def add_sections(spark: SparkSession, folder: str) -> DataFrame:
+    return _sections(spark, folder)[0].select(*NODE_COLUMNS)
+
+
+@query(sql=with_views(_NODES, *_SECTION_STEPS[:3], select="SELECT matter_id, sid AS section_id, issue FROM verdict WHERE issue IS NOT NULL"))
+def refused_sections(spark: SparkSession, folder: str) -> DataFrame:
+    return _sections(spark, folder)[1]
+
+
 @query(
     sql=with_views(
         ["v_arrangement"],

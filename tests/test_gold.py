@@ -518,6 +518,27 @@ def test_resolutions_need_current_hashes(spark):
     assert rows(changes.valid_resolutions(given, hashes, valid, K), "id") == [("r1",), ("r3",), ("r5",)]
 
 
+def test_section_around_several_exhibits(spark):
+    schema = "m long, pos int, section_id string, heading string, inner_pos int, exhibit_id string"
+    data = [(1, "a", None), (2, "b", "s"), (2, "c", "s"), (3, "d", None), (4, "e", "t"), (5, "f", None)]
+    tops, seen = [], {}
+    for pos, x, section in data:
+        seen[pos] = seen.get(pos, 0) + 1
+        tops.append((pos, section, section and section.upper(), seen[pos] if section else None, x))
+    nodes = spark.createDataFrame([(m, *t) for m in range(1, 9) for t in tops], schema)
+    wanted = {1: ("n", "N", 2, ["f", "e", "c", "a"]), 2: ("n", "N", 4, ["a"]), 3: ("n", "N", 5, ["a"]), 4: ("s", "N", 0, []), 5: ("n", "N", 0, ["a", "a"]), 6: ("n", "N", 0, ["zz"]), 7: ("n", "N", 0, []), 8: ("n", " ", 0, [])}
+    sections = spark.createDataFrame([(m, w[0], w[1], w[2]) for m, w in wanted.items()], "m long, section_id string, heading string, index int")
+    members = spark.createDataFrame([(m, x) for m, w in wanted.items() for x in w[3]], "m long, exhibit_id string")
+    placed, refused = arrangement.add_sections(nodes, sections, members, K)
+    assert rows(refused, "m", "issue") == [(3, "index is outside"), (4, "section already exists"), (5, "exhibit is selected more than once"), (6, "exhibit is not present"), (8, "section id or heading is invalid")]
+    of = lambda m: sorted(((r.pos, r.inner_pos or 0, r.section_id, r.exhibit_id) for r in placed.filter(f"m = {m}").collect()), key=str)
+    # an exhibit keeps its order, and a section that lost all of its own stays empty
+    assert of(1) == [(1, 1, "s", "b"), (2, 0, None, "d"), (3, 1, "n", "a"), (3, 2, "n", "c"), (3, 3, "n", "e"), (3, 4, "n", "f"), (4, 0, "t", None)]
+    assert of(2) == [(1, 1, "s", "b"), (1, 2, "s", "c"), (2, 0, None, "d"), (3, 1, "t", "e"), (4, 0, None, "f"), (5, 1, "n", "a")]
+    assert of(7)[0] == (1, 0, "n", None) and len(of(7)) == 7
+    assert of(3) == of(8) == [(p, i or 0, s_, x) for p, s_, _, i, x in tops]
+
+
 def test_flat_saved_order(spark):
     order = spark.createDataFrame([(1, 1, "x"), (1, 2, "y")], "m long, position int, exhibit_id string")
     nodes = arrangement.legacy_order(order, K)
