@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casefile.functions.ordered import chunk_of, neighbours, number_rows, running_sum
+from casefile.session import cut_lineage
 
 MAX_NODES, MAX_ID, MAX_HEADING = 20_000, 1_024, 512
 
@@ -312,7 +313,9 @@ def add_sections(nodes: DataFrame, sections: DataFrame, members: DataFrame, keys
     )
     e = e.withColumn("issue", issue)
     good = e.filter("issue IS NULL").select(*keys, F.col("section_id").alias("_new"), F.col("heading").alias("_name"), (F.col("index") - 0.5).alias("_at"))
-    rows = rows.join(good, keys, "left").withColumn("_moved", F.col("_chosen") & F.col("_new").isNotNull())
+    # read five times below
+    good = cut_lineage(good)
+    rows = cut_lineage(rows.join(good, keys, "left").withColumn("_moved", F.col("_chosen") & F.col("_new").isNotNull()))
     tops = rows.filter(~(F.col("_moved") & alone)).select(*keys, "pos").distinct().withColumn("_chunk", chunk_of("pos"))
     tops = number_rows(tops, keys, ["pos"], "_rank", ["_chunk"]).select(*keys, "pos", (F.col("_rank") - 1).cast("double").alias("_top"))
     nothing = F.lit(None).cast("string")

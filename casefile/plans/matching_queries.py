@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casefile.functions import patterns as P
-from casefile.operators import matching, similarity
+from casefile.operators import changes, matching, similarity
 from casefile.plans.catalog import query
 from casefile.plans.citation_queries import CANDIDATE_STEPS, candidate_rows
 from casefile.plans.sql import with_views
@@ -230,3 +230,25 @@ MATCH_STEPS = [
 def match_resolutions(spark: SparkSession, folder: str) -> DataFrame:
     rows = matching.match_resolutions(checks_table(spark, folder), resolutions_table(spark, folder), KEYS)
     return rows.select("matter_id", "check_id", "position", "action", "visual_review_confirmed")
+
+
+@query(
+    sql=with_views(
+        [],
+        ("res", RESOLUTIONS_SQL),
+        ("now", "SELECT o_custkey AS matter_id, concat('e', o_orderkey % 9) AS source_id, max(concat('h', o_orderkey % 7)) AS sha256 FROM orders GROUP BY ALL"),
+        ("cand", "SELECT DISTINCT o_custkey AS matter_id, concat('c', o_orderkey) AS candidate_id FROM orders WHERE o_orderkey % 3 = 0"),
+        select=(
+            "SELECT r.matter_id, r.position, r.action, r.source_id, r.source_sha256, r.candidate_id FROM res r LEFT JOIN now n ON n.matter_id = r.matter_id AND n.source_id = r.source_id LEFT JOIN cand c ON c.matter_id = r.matter_id AND c.candidate_id = r.candidate_id "
+            "WHERE (r.source_sha256 IS NULL OR n.sha256 = r.source_sha256) AND (r.candidate_id IS NULL OR c.candidate_id IS NOT NULL)"
+        ),
+    )
+)
+def valid_resolutions(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    orders = views.table(spark, folder, "orders").withColumn("matter_id", F.col("o_custkey"))
+    source, content = F.concat(F.lit("e"), (key % 9).cast("string")), F.concat(F.lit("h"), (key % 7).cast("string"))
+    hashes = orders.groupBy("matter_id", source.alias("source_id")).agg(F.max(content).alias("sha256"))
+    verified = orders.filter(key % 3 == 0).select("matter_id", F.concat(F.lit("c"), key.cast("string")).alias("candidate_id"))
+    rows = changes.valid_resolutions(resolutions_table(spark, folder), hashes, verified, KEYS)
+    return rows.select("matter_id", "position", "action", "source_id", "source_sha256", "candidate_id")
